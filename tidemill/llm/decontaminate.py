@@ -187,7 +187,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", one_in:
     the others the spans that match a window are cut. Documents without a hit
     stay as they are.
     """
-    found = find_items(docs, items, text=text, keep=docs.columns)
-    # keep has the text itself, so that what is cut comes from the original
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__own"))
+    found = find_items(whole, items, "__own", ["__row"])
     kept = found.where(~is_contaminated(F.col("n_hit"), F.col("n_words"), one_in))
-    return kept.withColumn(text, F.when(F.col("n_hit") == 0, F.col(text)).otherwise(_without(F.col(text), F.col("spans")))).select(*docs.columns)
+    cut = F.when(F.col("n_hit") == 0, F.col("__row")[text]).otherwise(_without(F.col("__row")[text], F.col("spans")))
+    return kept.select(*(cut.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
