@@ -3,5 +3,30 @@
 from __future__ import annotations
 
 
+OP4 = """
+with parts as (
+  select page_id,
+         case when url is not null and position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
+  from pages
+),
+split as (
+  select page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts
+),
+rules(rule_host, rule_path, rule_verdict) as (
+  values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+),
+ranked as (
+  select s.page_id, s.host, s.path, r.rule_host || r.rule_path as rule, r.rule_verdict,
+         row_number() over (partition by s.page_id order by length(r.rule_host || r.rule_path) desc) as k
+  from split s left join rules r
+    on (s.host = r.rule_host or suffix(s.host, '.' || r.rule_host)) and starts_with(s.path, r.rule_path)
+)
+select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from ranked where k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_rules": OP4}
