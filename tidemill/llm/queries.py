@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, chat, decontaminate, language, quality_rules, simhash, token_counts, url_rules
+from tidemill.llm import bpe, chat, decontaminate, html_extract, language, quality_rules, simhash, token_counts, url_rules
 from tidemill.llm._shared import table
 
 
@@ -41,6 +41,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(rows.unionByName(more), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_url_rules": op4_url_rules,
         "op5_chat_format": op5_chat_format,
+        "op6_html_extract": op6_html_extract,
         "op7_decontaminate": op7_decontaminate,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_components": op9_simhash_components,
