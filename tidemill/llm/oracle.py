@@ -28,5 +28,19 @@ select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict fro
 """
 
 
+OP1 = """
+with payloads as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+),
+firsts as (
+  select payload_digest, min(page_id) as first_id from payloads where payload_bytes >= 100 group by payload_digest
+)
+select p.page_id, p.payload_bytes, p.payload_digest,
+       case when f.first_id <> p.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first_id <> p.page_id then f.first_id end as refers_to
+from payloads p left join firsts f on p.payload_digest = f.payload_digest and p.payload_bytes >= 100
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": OP4}
+    return {"op1_warc_index": OP1, "op4_url_rules": OP4}

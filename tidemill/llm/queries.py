@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, chat, decontaminate, html_extract, language, quality_rules, simhash, token_counts, url_rules
+from tidemill.llm import bpe, chat, decontaminate, html_extract, language, quality_rules, simhash, token_counts, url_rules, warc
 from tidemill.llm._shared import table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -69,6 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_index": op1_warc_index,
         "op2_bpe_roundtrip": op2_bpe_roundtrip,
         "op3_language_id": op3_language_id,
         "op4_url_rules": op4_url_rules,
