@@ -149,9 +149,9 @@ def classify(pages: DataFrame) -> DataFrame:
     seen = materialize(large, "digests")
     firsts = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     again = seen.join(firsts, "digest").where("page_id is null or page_id <> first")
-    known = again.where("page_id is not null").select("page_id", F.col("digest").alias("of"), F.col("first")).distinct()
+    known = again.select("page_id", F.col("digest").alias("of"), F.col("first")).distinct()
     digest = F.sha2("payload", 256)
-    found = rows.withColumn("digest", digest).join(known, (rows.page_id == known.page_id) & (F.col("digest") == F.col("of")), "left")
+    found = rows.withColumn("digest", digest).join(known, rows.page_id.eqNullSafe(known.page_id) & (F.col("digest") == F.col("of")), "left")
     return found.select(rows.page_id, "url", "payload", "digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.col("first")).alias("refers_to"))
 
 
