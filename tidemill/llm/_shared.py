@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,25 @@ def utf8(column: str):
     return F.col(column).cast("binary")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, the first by a hash of the key.
+
+    A share of the rows, by the same hash, is taken first: else every task
+    would send as many rows as are wanted in all.
+    """
+    size = 1 << 30
+    share = min(size, size * 4 * limit // max(1, df.count()))
+    place = F.pmod(F.xxhash64(key), F.lit(size))
+    return df.where(place < share).orderBy(place, key).limit(limit)
+
+
 def arrow_type(data_type: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

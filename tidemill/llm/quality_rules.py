@@ -20,11 +20,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm._shared import hash_sample
+
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Labelled documents that the list is learned from: a sample by hash of the id.
 MAX_LABELLED = 8_000
-#: Candidate thresholds for each statistic: quantiles of the sample.
+#: Candidate thresholds for each statistic.
 THRESHOLDS = 40
 MAX_RULES, MAX_CONDITIONS = 12, 3
 MIN_PRECISION, MIN_COVERED = 0.97, 8
@@ -168,10 +170,15 @@ def _covered(rule, rows: Labelled) -> tuple[int, int]:
 
 
 def _thresholds(rows: Labelled) -> dict[str, list[float]]:
+    """Midpoints between neighbouring values where good and bad documents meet, evenly chosen if there are many."""
     out = {}
     for rate in rows[0][0]:
-        values = sorted(row[rate] for row, _ in rows)
-        out[rate] = sorted({(values[k] + values[k - 1]) / 2 for k in (len(values) * q // (THRESHOLDS + 1) for q in range(1, THRESHOLDS + 1)) if k})
+        kinds: dict[float, int] = {}
+        for row, bad in rows:
+            kinds[row[rate]] = kinds.get(row[rate], 0) | (2 if bad else 1)
+        values = sorted(kinds)
+        cuts = [(a + b) / 2 for a, b in zip(values, values[1:]) if kinds[a] != kinds[b] or kinds[a] == 3]
+        out[rate] = cuts if len(cuts) <= THRESHOLDS else [cuts[len(cuts) * k // THRESHOLDS] for k in range(THRESHOLDS)]
     return out
 
 
@@ -229,7 +236,7 @@ def learn_list(rows: Labelled) -> DecisionList:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = MAX_LABELLED) -> Labelled:
     """Rates of at most ``limit`` labelled documents and whether each is bad, in the order of a hash of the id."""
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = hash_sample(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q")), "doc_id", limit)
     there = docs.select(F.col("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = with_statistics(there, "text", ["doc_id", "__q"]).where(~base_failed()).select("doc_id", "__q", *(c.alias(k) for k, c in rates().items())).limit(2 * limit).collect()
     names = list(rates())
