@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, utf8
+from tidemill.llm._shared import arrow_schema, batch_of, slices, utf8
 from tidemill.llm.automaton import ROOT, SuffixAutomaton
 
 WINDOW = 13
@@ -30,7 +30,7 @@ ITEM_BYTES = 32 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
-FOUND = [T.StructField("n_words", T.LongType(), False), T.StructField("n_hit", T.LongType(), False), T.StructField("spans", SPANS, False), T.StructField("items", T.ArrayType(T.StringType(), False), False)]
+FOUND = [T.StructField("n_words", T.LongType(), False), T.StructField("n_hit", T.LongType(), False), T.StructField("spans", SPANS, False), T.StructField("items", T.ArrayType(T.StringType(), False), False), T.StructField("clean", T.BinaryType())]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -115,7 +115,8 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
 
 
 def find_items(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``keep`` with n_words, n_hit, the spans of hit words and the sorted ids of the items found.
+    """``keep`` with n_words, n_hit, the spans of hit words, the sorted ids of
+    the items found, and the text without the spans (null if there are none).
 
     The items' size is checked. Up to ``block_bytes`` they are broadcast; with
     more, the rows pass through one automaton for each block of items.
@@ -131,18 +132,19 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", keep: list
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             target, matcher = arrow_schema(carried), ItemMatcher(*shared.value)
             n = len(keep) + 1
-            for batch in batches:
-                found = [matcher.find(t or b"") for t in batch.column(n - 1).to_pylist()]
+            for batch in slices(batches):
+                texts = batch.column(n - 1).to_pylist()
+                found = [matcher.find(t or b"") for t in texts]
                 before = zip(batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist(), strict=True) if previous else None
                 if before is not None:
                     found = [(w, merged([(x["start"], x["end"]) for x in s] + spans), ids | set(i)) for (w, spans, ids), (s, i) in zip(found, before, strict=True)]
-                yield batch_of(target, [*(batch.column(i) for i in range(n)), [w for w, _, _ in found], [sum(e - s for s, e in spans) for _, spans, _ in found], [[{"start": s, "end": e} for s, e in spans] for _, spans, _ in found], [sorted(ids) for _, _, ids in found]])
+                yield batch_of(target, [*(batch.column(i) for i in range(n)), [w for w, _, _ in found], [sum(e - s for s, e in spans) for _, spans, _ in found], [[{"start": s, "end": e} for s, e in spans] for _, spans, _ in found], [sorted(ids) for _, _, ids in found], [without(t, spans) if spans else None for t, (_, spans, _) in zip(texts, found, strict=True)]])
 
         return run
 
     for k, block in enumerate(_blocks(items, item_id, item_text, block_bytes)):
         rows = rows.mapInArrow(passing(block, k > 0), carried)
-    return rows.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "n_words", "n_hit", "spans", "items")
+    return rows.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "n_words", "n_hit", "spans", "items", "clean")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,15 +171,14 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-@F.udf(T.StringType())
-def _without(text: str, spans) -> str:
-    data = text.encode()
-    places = [m.span() for m in _WORD.finditer(data.lower())]
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    places = [m.span() for m in _WORD.finditer(text.lower())]
     at, out = 0, []
-    for span in spans:
-        out.append(data[at : places[span["start"]][0]])
-        at = places[span["end"] - 1][1]
-    return b"".join([*out, data[at:]]).decode()
+    for start, end in spans:
+        out.append(text[at : places[start][0]])
+        at = places[end - 1][1]
+    return b"".join([*out, text[at:]])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", one_in: int = 20) -> DataFrame:
@@ -190,5 +191,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", one_in:
     whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__own"))
     found = find_items(whole, items, "__own", ["__row"])
     kept = found.where(~is_contaminated(F.col("n_hit"), F.col("n_words"), one_in))
-    cut = F.when(F.col("n_hit") == 0, F.col("__row")[text]).otherwise(_without(F.col("__row")[text], F.col("spans")))
+    cut = F.coalesce(F.col("clean").cast("string"), F.col("__row")[text])
     return kept.select(*(cut.alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns))
