@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, materialize
+from tidemill.llm._shared import arrow_schema, batch_of, materialize, slices
 from tidemill.llm.url_rules import host_and_path
 
 #: The part of a page's good text that the container voted for must hold.
@@ -172,7 +172,7 @@ def votes(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             found = [Page(h or "").vote() for h in batch.column(1).to_pylist()]
             yield batch_of(target, [batch.column(0), [p for p, _ in found], [s for _, s in found]])
 
@@ -197,7 +197,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [Page(h).text(p or "/") if h else "" for p, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield batch_of(target, [batch.column(0), texts, [len(t) for t in texts]])
 

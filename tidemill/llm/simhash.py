@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, materialize, utf8
+from tidemill.llm._shared import arrow_schema, batch_of, materialize, slices, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a shard beyond which it is cut further; a count, so that none is left out.
@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([fingerprint(t or b"") for t in batch.column(n).to_pylist()], np.uint64)
             yield batch_of(target, [*(batch.column(i) for i in range(n)), pa.array(prints.view(np.int64))])
 
