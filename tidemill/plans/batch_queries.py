@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import arrays as A
+from tidemill.functions import images
 from tidemill.functions import text as X
-from tidemill.operators import advantage, balance, batch, diagnosis, grading, losses, metrics, quota, similarity
+from tidemill.operators import advantage, balance, batch, diagnosis, grading, losses, metrics, quota, records, similarity
 from tidemill.plans.curation_queries import weaknesses
 from tidemill.plans.registry import Registry, Tables
 
@@ -325,3 +326,26 @@ def _(t):
     answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("$"), F.length("event_type").cast("string"), F.lit(".0$"))).otherwise(F.length("event_type").cast("string"))
     rows = t.events.select(F.col("user_id").cast("string").alias("question_id"), F.col("event_id").alias("candidate_index"), answer.alias("text"))
     return grading.majority_of_classes(rows)
+
+
+@query("q77_image_gate", "select p_partkey, not (p_size * 30 < 512 and p_partkey % 900 < 512) and p_retailprice * 1000 between 20480 and 5242880 and p_size * 4.0 >= 80 as accepted from part")
+def _(t):
+    return t.part.select("p_partkey", images.acceptable(F.col("p_size") * 30, F.col("p_partkey") % 900, F.col("p_retailprice") * 1000, F.col("p_size") * 4.0).alias("accepted"))
+
+
+@query("q78_image_sizes", "with s as (select p_partkey, p_size * 30 as w, (p_partkey % 900 + 1)::int as h from part), f as (select *, case when w * h > 300000 then sqrt(300000.0::double / (w * h)) when w * h < 65536 then sqrt(65536.0::double / (w * h)) else 1.0 end::double as f from s) select p_partkey, trunc(w * f)::int as width, trunc(h * f)::int as height from f")
+def _(t):
+    sized = images.within_pixels((F.col("p_size") * 30).cast("int"), (F.col("p_partkey") % 900 + 1).cast("int"), 65536, 300000)
+    return t.part.select("p_partkey", sized.alias("s")).select("p_partkey", "s.*")
+
+
+@query("q79_validated_plans", "select p_partkey, case when p_type in ('PROMO', 'LARGE') then p_type else 'mixed' end as image_type, coalesce(nullif(p_name, ''), 'none') as summary, 'numerical' as question_type from part")
+def _(t):
+    rows = t.part.select("p_partkey", F.col("p_type").alias("image_type"), F.col("p_name").alias("summary"))
+    return records.validated(rows, {"image_type": "mixed", "summary": "none", "question_type": "numerical"}, {"image_type": ["PROMO", "LARGE"]})
+
+
+@query("q80_until_successes", "with g as (select ts, event_id from events where event_type = 'purchase' order by ts, event_id limit 1 offset 99) select event_id, event_type from events e where not exists (select 1 from g) or (e.ts, e.event_id) <= (select (ts, event_id) from g)")
+def _(t):
+    rows = t.events.select("event_id", "event_type", "ts", (F.col("event_type") == "purchase").alias("ok"))
+    return records.until_successes(rows, ["ts", "event_id"], "ok", 100).select("event_id", "event_type")
