@@ -41,6 +41,11 @@ REOPENED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 #: Elements, words of classes and ids, and roles that name what is not the article.
 APART_TAGS = {"head", "nav", "aside", "form", "footer", "menu", "dialog", "fieldset", "search"}
 APART_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "billboard", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments", "consent", "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "form", "gdpr", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "paywall", "popular", "popup", "privacy", "promo", "promos", "promoted", "promotion", "recommended", "recommendations", "related", "reply", "replies", "respond", "responses", "search", "share", "sharing", "sidebar", "signin", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar", "trending", "widget", "widgets"}
+APART_WORDS |= {"alert", "alerts", "branding", "disclaimer", "logo", "tagcloud", "tags", "topnav"}
+#: Beginnings of such words, as names are often written in one, but for what else begins so.
+APART_STARTS = ("advert", "breadcrumb", "commentl", "commentb", "commentf", "commentt", "cookie", "footer", "navbar", "newsletter", "promo", "recommend", "relatedp", "sidebar", "sponsor", "subscri")
+#: A block outside paragraphs and headings that is links in the main is a menu.
+LINKED = 0.8
 APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 TITLES = {"h1", "h2"}
@@ -129,7 +134,7 @@ class Page:
         words = {x.lower() for x in _PART.findall(given.get("class", "") + " " + given.get("id", ""))}
         inside = any(t in ("article", "main") for t, _ in stack)
         apart = tag in APART_TAGS or given.get("role", "").lower() in APART_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        apart = apart or (tag not in WHOLE and bool(words & APART_WORDS)) or (not inside and tag not in WHOLE and (tag == "header" or "header" in words))
+        apart = apart or (tag not in WHOLE and (bool(words & APART_WORDS) or any(w.startswith(APART_STARTS) for w in words))) or (not inside and tag not in WHOLE and (tag == "header" or "header" in words))
         self.parent.append(above)
         self.path.append(self.path[above] + "/" + ".".join([tag, *map(general, classes)]))
         self.apart.append(self.apart[above] or apart)
@@ -163,7 +168,7 @@ class Page:
         within = [False] * len(self.parent)
         for k in range(len(self.parent)):
             within[k] = self.path[k] == path or (k > 0 and within[self.parent[k]])
-        return "\n".join(text for holder, text, _, _ in self.blocks if within[holder] and not self.apart[holder])
+        return "\n".join(text for holder, text, linked, kind in self.blocks if within[holder] and not self.apart[holder] and (kind in PROSE or linked <= LINKED * len(text)))
 
 
 def votes(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame:
