@@ -42,5 +42,49 @@ from payloads p left join firsts f on p.payload_digest = f.payload_digest and p.
 """
 
 
+OP5 = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) as v(conv_id, turn, role, text)
+),
+sized as (
+  select *, length(role) + length(text) + 20
+    + len(regexp_extract_all(role, '<\\*s>|\[\\*INST\]|\[\\*/INST\]|<\\*/s>'))
+    + len(regexp_extract_all(text, '<\\*s>|\[\\*INST\]|\[\\*/INST\]|<\\*/s>')) as written
+  from said
+)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(written)::bigint as formatted_chars
+from sized group by conv_id
+"""
+
+OP7 = r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+),
+windows as (
+  select distinct item_id, n, list_slice(w, i, i + n - 1) as win
+  from (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0)
+),
+places as (
+  select doc_id, i, n, list_slice(w, i, i + n - 1) as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from windows) where len(w) >= n)
+),
+hits as (select p.doc_id, p.i, p.n, x.item_id from places p join windows x on p.n = x.n and p.win = x.win),
+words as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as at from hits) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from docs d left join words on d.doc_id = words.doc_id left join found on d.doc_id = found.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1, "op4_url_rules": OP4}
+    return {"op1_warc_index": OP1, "op4_url_rules": OP4, "op5_chat_format": OP5, "op7_decontaminate": OP7}
