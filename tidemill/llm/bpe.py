@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemill.llm._shared import arrow_schema, arrow_type, batch_of
+from tidemill.llm._shared import arrow_schema, batch_of, slices
 from tidemill.llm.automaton import ROOT, SuffixAutomaton
 
 #: Words whose ids a task remembers; the memo starts anew beyond that.
-WORD_MEMO = 300_000
-PAIR_MEMO = 1_000_000
+WORD_MEMO = 150_000
+PAIR_MEMO = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -84,7 +84,7 @@ class PrefixEncoder:
         self.library = Tokenizer.from_str(text)
         self.byte_of = {x: b for b, x in enumerate(letters)}
         self.control = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -144,11 +144,11 @@ class PrefixEncoder:
         return known
 
     def _pair(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        known = self._pairs.get(left << 20 | right)
         if known is None:
             if len(self._pairs) >= PAIR_MEMO:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.whole(right) and self.fits(left, right)
+            known = self._pairs[left << 20 | right] = self.whole(right) and self.fits(left, right)
         return known
 
     def encode_word(self, word: str) -> list[int]:
@@ -171,7 +171,7 @@ class PrefixEncoder:
                 start = i - size[token]
                 if start:
                     left = last[start]
-                    good = pairs.get((left, token))
+                    good = pairs.get(left << 20 | token)
                     if good is None:
                         good = self._pair(left, token)
                 else:
@@ -257,7 +257,7 @@ def with_token_ids(docs: DataFrame, tokenizer_path: str, text: str = "text", kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             pieces = [enc.encode(x) if x else b"" for x in batch.column(n).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in pieces)]).astype("i4")
             values = pa.array(np.frombuffer(b"".join(pieces), "<i4"))
@@ -277,7 +277,7 @@ def with_decoded(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [enc.decode(x or ()) for x in batch.column(n).to_pylist()]
             yield batch_of(target, [*batch.columns, texts])
 
@@ -294,7 +294,7 @@ def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
         target = arrow_schema(schema)
         enc = encoder(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for x in batch.column(1):
                 ids = x.values.to_numpy() if x.is_valid else np.zeros(0, "<i4")
@@ -311,4 +311,4 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return digests(with_token_ids(docs, tokenizer_path), tokenizer_path)
 
 
-__all__ = ["PrefixEncoder", "arrow_type", "digests", "encode_and_decode", "encoder", "with_decoded", "with_token_ids"]
+__all__ = ["PrefixEncoder", "digests", "encode_and_decode", "encoder", "with_decoded", "with_token_ids"]
