@@ -141,6 +141,15 @@ def test_language_edges(spark):
     assert kept.columns == taught.columns and {r.doc_id for r in kept.collect()} >= set(range(60))
 
 
+def test_a_small_model_still_has_all_languages(spark, monkeypatch):
+    taught = spark.createDataFrame([(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 20, "en" if k % 2 else "de") for k in range(60)], "doc_id long, text string, lang string")
+    whole = language.learn(taught)
+    monkeypatch.setattr(language, "MAX_CELLS", 40)
+    small = language.learn(taught)
+    assert small.languages == whole.languages == ["de", "en"]
+    assert 0 < len(small.keys[-1]) < 30 < len(whole.keys[-1])
+
+
 def test_kneser_ney_sums_to_one():
     counts = {"\x02\x02\x02a": 3, "\x02\x02ab": 2, "\x02ab\x03": 2, "\x02\x02a\x03": 1, "\x02\x02\x02b": 1, "\x02\x02b\x03": 1}
     tables = language.kneser_ney(counts, 4, 1 / 4)
