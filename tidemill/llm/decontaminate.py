@@ -13,6 +13,7 @@ stands in lists of ids as the empty string.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from tidemill.llm.automaton import ROOT, SuffixAutomaton
 
 WINDOW = 13
 #: Bytes of item texts that one automaton holds; more items go through the documents in further passes.
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 4 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
@@ -105,6 +106,17 @@ class ItemMatcher:
                 spans.append((start, i + 1))
 
 
+_matchers: dict[str, ItemMatcher] = {}
+
+
+def matcher(name: str, items: list[tuple[str, bytes]], window: int) -> ItemMatcher:
+    """The automaton of a block of items, built once for each Python worker, which keeps the last one."""
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = ItemMatcher(items, window)
+    return _matchers[name]
+
+
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items, in blocks that are small enough for one automaton each."""
     chosen = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), utf8(text).alias("t")).where("t is not null")
@@ -127,14 +139,14 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", keep: list
     carried = T.StructType([*rows.schema.fields, *FOUND])
 
     def passing(block, previous: bool):
-        shared = sc.broadcast((block, window))
+        shared = sc.broadcast((uuid.uuid4().hex, block, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            target, matcher = arrow_schema(carried), ItemMatcher(*shared.value)
+            target, found_by = arrow_schema(carried), matcher(*shared.value)
             n = len(keep) + 1
             for batch in slices(batches):
                 texts = batch.column(n - 1).to_pylist()
-                found = [matcher.find(t or b"") for t in texts]
+                found = [found_by.find(t or b"") for t in texts]
                 before = zip(batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist(), strict=True) if previous else None
                 if before is not None:
                     found = [(w, merged([(x["start"], x["end"]) for x in s] + spans), ids | set(i)) for (w, spans, ids), (s, i) in zip(found, before, strict=True)]
