@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import chat, html_extract, simhash, warc
 from tidemill.llm import queries as llm_queries
+from tidemill.llm._shared import join_counted
 
 
 def brute_components(prints: dict[int, int]) -> dict[int, int]:
@@ -73,6 +75,17 @@ def test_links_connect_all_that_are_near(spark):
         assert len({(a, b) for a, b in zip(label, near.values(), strict=True)}) == len(set(label)) == len(set(near.values()))
 
 
+@pytest.mark.parametrize("share", [1, 4, 10**6])
+def test_join_by_counted_keys(spark, share):
+    rows = [(0, i) for i in range(60)] + [(k, k) for k in range(1, 30)] + [(None, 5)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    named = left.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 7 as name")
+    got = join_counted(left, named, "k", len(rows), share)
+    assert got.columns == ["k", "v", "name"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, 7 * k) for k, v in rows if k is not None)
+    assert join_counted(left.limit(0), named.limit(0), "k", 0, share).count() == 0
+
+
 def test_dense_shard_takes_few_steps():
     chance = random.Random(10)
     keys = list({sum(1 << b for b in chance.sample(range(20), chance.randint(0, 6))) for _ in range(6000)})

@@ -64,6 +64,18 @@ def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.where(place < share).orderBy(place, key).limit(limit)
 
 
+def join_counted(rows: DataFrame, named: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of the rows with ``named``, which has one row for each key and, in ``n``, how many rows have it.
+
+    Keys with more than one row in ``share`` of ``total``, of which there are
+    fewer than ``share``, are broadcast, so that no task gets all rows of one;
+    the others shuffle.
+    """
+    often = F.col("n") * share > total
+    hot, rest = F.broadcast(named.where(often).drop("n")), named.where(~often).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
 def arrow_type(data_type: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

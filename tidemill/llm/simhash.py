@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, materialize, slices, utf8
+from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, slices, utf8
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a shard beyond which it is cut further; a count, so that none is left out.
@@ -218,8 +218,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = sign(edges)
     for _ in range(rounds if now[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a component's head has all of its members beside it
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_counted(both, least, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: all that is known of u, and u itself, goes below the smallest of it
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
@@ -235,17 +236,27 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
-    prints = materialize(with_fingerprint(docs, text, [doc_id]), "prints").withColumnRenamed(doc_id, "doc_id")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def _named(prints: DataFrame, total: int) -> DataFrame:
+    """fp, n (rows that have it) and component_id of every fingerprint."""
+    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
     roots = components(fingerprint_links(firsts.select("fp")))
     grouped = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    linked = grouped.join(firsts, "fp")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    names = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = grouped.join(firsts.select("fp", "first"), "fp")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = join_counted(linked.select("fp", "root"), lowest, "root", total).select("fp", "component_id")
+    return firsts.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def _prints(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return materialize(with_fingerprint(docs, text, [doc_id]), "prints").withColumnRenamed(doc_id, "doc_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
+    prints = _prints(docs, text, doc_id)
+    total = prints.count()
+    names = materialize(_named(prints, total), "names")
+    return join_counted(prints, names, "fp", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -253,7 +264,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Rows without an id can't be told apart and all stay.
     """
-    found = near_duplicates(docs, text, doc_id)
-    heads = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    prints = _prints(docs, text, doc_id)
+    heads = _named(prints, prints.count()).select(F.col("component_id").alias(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
     kept = docs.where(F.col(doc_id).isNotNull()).join(heads, doc_id, "left_semi").dropDuplicates([doc_id])
     return kept.unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
