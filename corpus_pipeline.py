@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, decontaminate, language, quality_rules, simhash
+from tidemill.llm import bpe, decontaminate, language, minhash, quality_rules
 from tidemill.llm._shared import materialize, table
 
 
@@ -18,7 +18,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return minhash.deduplicate(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("language ID", known_language),
-    ("SimHash near-dedup", near_duplicates),
+    ("MinHash near-dedup", near_duplicates),
     ("benchmark decontamination", benchmark_passages),
     ("BPE encoding and decoding", token_ids),
 ]

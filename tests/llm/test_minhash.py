@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import random
+
+from tidemill.llm import minhash
+
+
+def grams(text) -> set:
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def near(a, b) -> bool:
+    x, y = grams(a), grams(b)
+    return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
+
+def brute_heads(texts) -> list[int]:
+    best = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if near(texts[a], texts[b]) and best[a] != best[b]:
+                old, new = max(best[a], best[b]), min(best[a], best[b])
+                best = [new if x == old else x for x in best]
+    return sorted(set(best))
+
+
+def near_texts() -> list:
+    chance = random.Random(3)
+    base = [[f"w{chance.randrange(5000)}" for _ in range(300)] for _ in range(25)]
+    texts = [" ".join(b) for b in base]
+    for k, b in enumerate(base):
+        for n in (3, 5, 6, 12):  # Jaccard of about 0.9, 0.85, 0.8 and 0.65
+            copy = list(b)
+            for at in chance.sample(range(300), n):
+                copy[at] = f"new{k}-{n}-{at}"
+            texts.append(" ".join(copy))
+    return texts + [None, "", " \t\n", "One", "one", "a b c d e f", "A b\nc d e f", "a b c d e"]
+
+
+def test_near_copies_are_brute_force(spark, monkeypatch):
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for few, heads in ((minhash.FEW, minhash.HEADS), (0, 1)):
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "HEADS", heads)
+        kept = minhash.deduplicate(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == brute_heads(texts) and kept.columns == docs.columns
+    assert minhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    texts = near_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_heads(texts)

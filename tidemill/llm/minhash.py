@@ -1,0 +1,125 @@
+"""Near-duplicates by five-word shingles: candidates from MinHash bands, confirmed by exact Jaccard similarity.
+
+Texts of the same words share one key. A pair at the limit of 0.8 misses all
+bands, of ``ROWS`` minima each, in 3 of 100,000 cases, a pair at 0.85 in 4 of
+ten million; whatever shares a band is compared by its whole set of shingles.
+In each bucket all are first compared with one head, until what is not
+connected yet is little enough to be compared pair by pair.
+
+Defined results: texts without a word are copies of each other; a text of up
+to five words is one shingle; links chain, as those of ``simhash`` do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, slices, utf8
+from tidemill.llm.simhash import components
+
+SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 4
+#: Rounds of heads at most, and pairs for each row in a bucket below which the rest is compared pair by pair.
+HEADS, FEW = 8, 10
+_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of all runs of five words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    return np.unique(np.frombuffer(b"".join([digest(join(s), SEED) for s in zip(*(words[k:] for k in range(SHINGLE)), strict=False)] or [digest(join(words), SEED)]), ">u8").astype(np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """For each band the hash of its minima, as a signed 64-bit integer."""
+    least = np.full(len(_MIX), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):  # long texts by stretches
+        x = (hashes[at : at + 4096] ^ _MIX) * np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=1))
+    return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def with_shingles(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep``, the key of the words, the bands and the shingles."""
+    longs = T.ArrayType(T.LongType(), False)
+    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("key", T.LongType(), False), T.StructField("bands", longs, False), T.StructField("shingles", longs, False)])
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = arrow_schema(schema)
+        for batch in slices(batches, 200):
+            words = [(t or b"").lower().split() for t in batch.column(n).to_pylist()]
+            sets = [shingles(w) for w in words]
+            keys = [xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63) for w in words]
+            yield batch_of(target, [*(batch.column(i) for i in range(n)), keys, [bands(s) for s in sets], pa.array([s.view(np.int64) for s in sets], target.field("shingles").type)])
+
+    return docs.select(*keep, utf8(text).alias("__text")).mapInArrow(run, schema)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles have at least four fifths of their union in common."""
+    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
+    known = materialize(sets.join(asked, "key").dropDuplicates(["key"]), "shingles")
+    total = 2 * pairs.count()
+    left = join_counted(pairs, known.select(F.col("key").alias("a"), F.col("shingles").alias("x"), "n"), "a", total)
+    both = join_counted(left, known.select(F.col("key").alias("b"), F.col("shingles").alias("y"), "n"), "b", total)
+    # common / (x + y - common) >= 4 / 5
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def by_key(roots: DataFrame) -> DataFrame:
+    """(key, root), the roots themselves included."""
+    return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
+
+
+def linked(sets: DataFrame) -> DataFrame:
+    """(node, root): the components of the links between the keys of ``sets`` (key, bands, shingles)."""
+    each = sets.groupBy("key").agg(F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("w"))
+    rows = each.where("w > 0").select("key", "w", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(join_counted(rows, buckets, "band", rows.count()), "buckets")
+    total = members.count()
+    alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+    links = tried = members.sparkSession.createDataFrame([], "a long, b long")
+    roots = components(links)
+    for r in range(HEADS + 1):
+        named = members.join(by_key(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        parts = named.groupBy("band", "root").agg(F.count("*").alias("m"))
+        open_ = parts.groupBy("band").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("k")).where("k > 1")
+        left = materialize(join_counted(named, open_.select("band", "n"), "band", total), "buckets")
+        work = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
+        if not work:
+            break
+        last = r == HEADS or work <= FEW * total
+        if last:
+            x, y = left.select("band", F.col("key").alias("a"), F.col("root").alias("s"), F.col("w").alias("v")), left.withColumnRenamed("key", "b")
+            pairs = x.join(y, "band").where("a < b")
+        else:
+            heads = left.groupBy("band").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "root", "w"), F.xxhash64("key", F.lit(r))).alias("h"))
+            pairs = join_counted(left.withColumnRenamed("key", "b"), heads, "band", total).select("b", "root", "w", F.col("h.key").alias("a"), F.col("h.root").alias("s"), F.col("h.w").alias("v"))
+        pairs = pairs.where((F.col("root") != F.col("s")) & alike(F.col("w"), F.col("v"))).select("a", "b").distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(links.unionByName(confirmed(pairs, sets.select("key", "shingles"))), "links")
+        tried = tried.unionByName(pairs)
+        roots = components(links)
+        if last:
+            break
+    return roots
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component: that with the smallest id, then by the words and the whole row; null ids come last."""
+    whole = docs.withColumn("__row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+    sets = materialize(with_shingles(whole, text, [doc_id, "__row"]), "shingles")
+    of_key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "key", "__row")
+    firsts = sets.groupBy("key").agg(F.min(of_key).alias("first")).join(by_key(linked(sets)), "key", "left")
+    heads = firsts.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first")).select("first.__row").distinct()
+    return whole.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
