@@ -138,6 +138,14 @@ def test_html_text():
     assert html_extract.Page("<div class='post-12 x'><p>t</div>").vote()[0] == "/div.post-#.x"
 
 
+def test_nothing_beside_the_main_container_is_lost(spark):
+    lead, main = "lead " * 15, "main " * 85
+    html = PAGE.format(body=f"<div class=wrap><article><h1>Title</h1><div class=lead><p>{lead}</p></div><div class=body><p>{main}</p><div class=ads>Buy</div></div></article><div class=note2>A note</div></div>")
+    assert html_extract.Page(html).vote() == ("/html/body/div.wrap", 1.0)
+    rows = spark.createDataFrame([(k, "http://a.net/", html) for k in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(rows).collect()} == {f"Title\n{lead.strip()}\n{main.strip()}\nA note"}
+
+
 def test_hosts_agree_on_a_path(spark):
     page = lambda n, box: PAGE.format(body=f"<div class=story><p>{'story ' * n}</p></div><div class=x9><p>{'box ' * box}</p></div>")
     rows = [(k, "http://a.net/x", page(60, 5)) for k in range(6)] + [(6, "http://a.net/y", page(5, 40)), (7, None, page(30, 1)), (8, "http://b.net/", None), (9, "http://b.net/", ""), (9, "http://b.net/", "")]

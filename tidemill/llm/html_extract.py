@@ -1,8 +1,9 @@
 """Main text of web pages by consensus over each host's container paths.
 
 A page's containers are scored by the text that they hold outside menus,
-headers, adverts and the like; the innermost one that holds nearly all of it
-gets the page's vote, under its path of tags and generalised classes. Spark
+headers, adverts and the like; from the innermost one that holds nearly all of
+it, the smallest around that one, below the body, that leaves nothing out gets
+the page's vote, under its path of tags and generalised classes. Spark
 adds the votes up by host. The pages are then read again with the path that
 their host has chosen; a page without that path falls back to its own vote.
 
@@ -48,7 +49,6 @@ APART_STARTS = ("advert", "breadcrumb", "commentl", "commentb", "commentf", "com
 LINKED = 0.8
 APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
-TITLES = {"h1", "h2"}
 WHOLE = {"html", "body", "article", "main"}
 
 _SILENT = "|".join(sorted(SILENT))
@@ -141,23 +141,24 @@ class Page:
         return len(self.parent) - 1
 
     def vote(self) -> tuple[str, float]:
-        """The path of the innermost container that holds enough of the good text, and the part that it holds."""
-        held, titles = [0.0] * len(self.parent), [0.0] * len(self.parent)
+        """The path of the container voted for, and the part of the good text that it holds.
+
+        From the innermost one that holds enough, it climbs below the body to
+        the smallest that holds all that any around it holds.
+        """
+        held = [0.0] * len(self.parent)
         for holder, text, linked, kind in self.blocks:
             if not self.apart[holder]:
-                weight = (len(text) - linked) * (1.0 if kind in PROSE else 0.5)
-                held[holder] += weight
-                titles[holder] += weight * (kind in TITLES)
+                held[holder] += (len(text) - linked) * (1.0 if kind in PROSE else 0.5)
         for k in range(len(held) - 1, 0, -1):
             held[self.parent[k]] += held[k]
-            titles[self.parent[k]] += titles[k]
         if not held[0]:
             return "", 0.0
         chosen = max(k for k in range(len(held)) if held[k] >= ENOUGH * held[0])
         k = self.parent[chosen]
         while k > 0 and self.path[k].rpartition("/")[2].partition(".")[0] not in ("html", "body"):
-            if held[k] > held[chosen] and held[k] - held[chosen] == titles[k] - titles[chosen]:
-                chosen = k  # it adds the article's title only
+            if held[k] > held[chosen]:
+                chosen = k  # the rest of the article lies beside what holds most of it
             k = self.parent[k]
         return self.path[chosen], held[chosen] / held[0]
 
