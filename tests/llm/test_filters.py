@@ -150,6 +150,20 @@ def test_a_small_model_still_has_all_languages(spark, monkeypatch):
     assert 0 < len(small.keys[-1]) < 30 < len(whole.keys[-1])
 
 
+def test_calibration_of_few_or_wrong_labels(spark, monkeypatch):
+    rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 20, "en" if k % 2 else "de") for k in range(60)]
+    taught = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bare = spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit("no label").alias("text"), F.lit(None).cast("string").alias("lang"))
+    monkeypatch.setattr(language, "CALIBRATION", 20)
+    models = language.learn(taught.unionByName(bare))
+    assert models.limit < float("inf")
+    texts, labels = [t for _, t, _ in rows], [x for _, _, x in rows]
+    models.calibrate(texts, labels)
+    limit, slack = models.limit, models.slack
+    models.calibrate([*texts, "der hund und die katze " * 2000], [*labels, "en"])
+    assert abs(models.limit - limit) < 0.1 and models.slack <= slack + 0.1
+
+
 def test_kneser_ney_sums_to_one():
     counts = {"\x02\x02\x02a": 3, "\x02\x02ab": 2, "\x02ab\x03": 2, "\x02\x02a\x03": 1, "\x02\x02\x02b": 1, "\x02\x02b\x03": 1}
     tables = language.kneser_ney(counts, 4, 1 / 4)
