@@ -55,3 +55,12 @@ def test_pipeline_stage_drops_near_copies(spark):
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_heads(texts)
+
+
+def test_repeated_and_null_ids(spark):
+    x, y, z = ("".join(f"{c}{k} " for k in range(50)) for c in "xyz")
+    rows = [(1, x), (1, y), (None, z), (None, z + "end"), (None, x), (2, y), (1, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicate(docs).collect()]
+    assert sorted(k for k in kept if k[0]) == [(1, x), (1, y)]  # neither of two texts of one id is lost
+    assert len(kept) == 3 and [i for i, t in kept if t.startswith("z0 ")] == [None]
