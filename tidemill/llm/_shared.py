@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+V = TypeVar("V")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,11 +48,35 @@ def utf8(column: str):
     return F.col(column).cast("binary")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that what Python makes of them stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows and few bytes, so that what Python makes of them stays small.
+
+    A row over ``size`` bytes is a part of its own.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, build: Callable[[], V]) -> V:
+    """What ``build`` makes, once for each Python worker in a row of tasks.
+
+    A worker keeps the last key's value only: the next operator's tables
+    replace these, so that workers that live on do not gather state.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
 
 
 def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:

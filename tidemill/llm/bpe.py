@@ -5,7 +5,8 @@ A suffix automaton of the vocabulary yields the tokens that end at a prefix;
 the one that fits behind the last token of the prefix before it is kept, and
 following these back from the word's end gives the ids that merging gives.
 
-Texts are Spark rows; a task keeps one encoder and a bounded memo of words.
+Texts are Spark rows; a Python worker keeps one encoder, a memo of words and
+one of pairs, both of bounded size, and drops them for the next operator's.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
+from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemill.llm._shared import arrow_schema, batch_of, slices
+from tidemill.llm._shared import arrow_schema, batch_of, kept, slices
 from tidemill.llm.automaton import ROOT, SuffixAutomaton
 
-#: Words whose ids a task remembers; the memo starts anew beyond that.
-WORD_MEMO = 150_000
-PAIR_MEMO = 300_000
+#: Bytes, about, of the words whose ids a worker remembers, in each of two generations.
+MEMO_BYTES = 16_000_000
+#: Pairs of tokens remembered; the memo starts anew beyond that.
+PAIR_MEMO = 200_000
+#: Words that are encoded at a time, which bounds what a very long text takes.
+AT_ONCE = 50_000
 
 
 def byte_letters() -> list[str]:
@@ -64,9 +71,7 @@ class PrefixEncoder:
         model, end = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
+        self.n_tokens = 1 + max([*vocab.values(), *self.special.values()])
         letters = byte_letters()
         self.inner = [vocab[x] for x in letters]
         self.final = [vocab[x + end] for x in letters]
@@ -81,13 +86,19 @@ class PrefixEncoder:
             self.merged[l, r] = i
         self._automaton()
         self._splitter(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
-        self.library = Tokenizer.from_str(text)
+        self.spec = {**spec, "model": {**model, "vocab": {}, "merges": []}, "added_tokens": []}
         self.byte_of = {x: b for b, x in enumerate(letters)}
         self.control = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.memo_size = 0
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's normaliser and splitter alone, made for the first text that needs them."""
+        return Tokenizer.from_str(json.dumps(self.spec))
 
     def _splitter(self, pattern: str) -> None:
         """The file's splitting pattern with its classes spelt out over the usual characters, which makes it quick."""
@@ -127,7 +138,7 @@ class PrefixEncoder:
         them; at equal rank the leftmost goes first. ``before`` limits this
         to merges of a lower id.
         """
-        top = before if before is not None else len(self.tokens)
+        top = before if before is not None else self.n_tokens
         for x, ends_x in self._edge(left, 1, top):
             for y, ends_y in self._edge(right, 0, top):
                 m = self.merged.get((x, y))
@@ -190,21 +201,31 @@ class PrefixEncoder:
         found = self.older.get(word)
         if found is None:
             found = np.array(self.encode_word(word), "<i4").tobytes()
-        if len(self.memo) >= WORD_MEMO:
-            self.older, self.memo = self.memo, {}
+        if len(word) > 1000:  # would fill the memo and hardly comes again
+            return found
+        self.memo_size += len(word) + len(found) + 150
+        if self.memo_size > MEMO_BYTES:
+            self.older, self.memo, self.memo_size = self.memo, {}, len(word) + len(found) + 150
         self.memo[word] = found
         return found
 
-    def _words(self, text: str) -> list[str]:
-        """The pieces of a text without special tokens that are encoded apart.
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text without special tokens that are encoded apart, so many at a time.
 
         Where a character's class may differ from one Unicode version to the
         next, the library's own normaliser and splitter decide.
         """
         if self.unusual.search(text):
             text = self.library.normalizer.normalize_str(text)
-            return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            yield [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            return
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if len(text) <= AT_ONCE:
+            yield self.word.findall(text)
+            return
+        pieces = (m[0] for m in self.word.finditer(text))
+        while part := list(islice(pieces, AT_ONCE)):
+            yield part
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -214,27 +235,34 @@ class PrefixEncoder:
             if k % 2:
                 out.append(np.array([self.special[piece]], "<i4").tobytes())
             elif piece:
-                words = self._words(piece)
-                get = self.memo.get
-                found = [get(w) for w in words]
-                out += found if None not in found else [f or make(w) for f, w in zip(found, words)]
+                for words in self._words(piece):
+                    get = self.memo.get
+                    found = [get(w) for w in words]
+                    out.append(b"".join(found if None not in found else [f or make(w) for f, w in zip(found, words)]))
         return b"".join(out)
 
+
+class Decoder:
+    """Token texts by id, special ones included."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        found = [*spec["model"]["vocab"].items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]
+        self.tokens = [""] * (1 + max(i for _, i in found))
+        for token, i in found:
+            self.tokens[i] = token
+
     def decode(self, ids) -> str:
         """Token texts with a space between, as for a vocabulary file without a decoder; special ones stay."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_encoders: dict[int, PrefixEncoder] = {}
+def encoder(spec: str) -> PrefixEncoder:
+    return kept(("encoder", hash(spec)), lambda: PrefixEncoder(spec))
 
 
-def encoder(spec: str) -> PrefixEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    key = hash(spec)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PrefixEncoder(spec)
-    return _encoders[key]
+def both(spec: str) -> tuple[PrefixEncoder, Decoder]:
+    return kept(("encoder and decoder", hash(spec)), lambda: (PrefixEncoder(spec), Decoder(spec)))
 
 
 def read_spec(tokenizer_path: str) -> str:
@@ -276,39 +304,37 @@ def with_decoded(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        enc = encoder(spec.value)
-        for batch in slices(batches):
-            texts = [enc.decode(x or ()) for x in batch.column(n).to_pylist()]
+        decode = kept(("decoder", hash(spec.value)), lambda: Decoder(spec.value)).decode
+        for batch in slices(batches, size=1_000_000):
+            texts = [decode(x or ()) for x in batch.column(n).to_pylist()]
             yield batch_of(target, [*batch.columns, texts])
 
     return encoded.select(*keep, ids).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Count and SHA-256 of the ids, as unsigned 32-bit little-endian integers, and SHA-256 of the decoded text."""
-    schema = T.StructType([encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
-    spec = encoded.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
+    The digests are of the ids as unsigned 32-bit little-endian integers, and
+    of the text that these ids decode to. One pass over the rows does both
+    ways, so that a core has one encoder.
+    """
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
-        enc = encoder(spec.value)
-        for batch in slices(batches):
+        enc, dec = both(spec.value)
+        for batch in slices(batches, size=2_000_000):
             n, a, b = [], [], []
-            for x in batch.column(1):
-                ids = x.values.to_numpy() if x.is_valid else np.zeros(0, "<i4")
-                n.append(len(ids))
-                a.append(sha256(ids.astype("<u4").tobytes()).hexdigest())
-                b.append(sha256(enc.decode(ids.tolist()).encode()).hexdigest())
+            for x in batch.column(1).to_pylist():
+                ids = enc.encode(x) if x else b""
+                n.append(len(ids) // 4)
+                a.append(sha256(ids).hexdigest())
+                b.append(sha256(dec.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
             yield batch_of(target, [batch.column(0), n, a, b])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
-
-
-def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    return digests(with_token_ids(docs, tokenizer_path), tokenizer_path)
+    return docs.select(doc_id, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-__all__ = ["PrefixEncoder", "digests", "encode_and_decode", "encoder", "with_decoded", "with_token_ids"]
+__all__ = ["Decoder", "PrefixEncoder", "encode_and_decode", "encoder", "with_decoded", "with_token_ids"]
