@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -141,13 +142,84 @@ def test_language_edges(spark):
     assert kept.columns == taught.columns and {r.doc_id for r in kept.collect()} >= set(range(60))
 
 
-def test_a_small_model_still_has_all_languages(spark, monkeypatch):
-    taught = spark.createDataFrame([(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 20, "en" if k % 2 else "de") for k in range(60)], "doc_id long, text string, lang string")
-    whole = language.learn(taught)
-    monkeypatch.setattr(language, "MAX_CELLS", 40)
-    small = language.learn(taught)
-    assert small.languages == whole.languages == ["de", "en"]
-    assert 0 < len(small.keys[-1]) < 30 < len(whole.keys[-1])
+def dictionary_kneser_ney(top, order, base):
+    """Plain interpolated Kneser-Ney over dictionaries: probability of a character behind a context, and the discounts' weights."""
+    counts = {order: dict(top)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = defaultdict(int)
+        for g in counts[n + 1]:
+            counts[n][g[1:]] += 1
+
+    def discount(n):
+        ones, twos = (sum(v == k for v in counts[n].values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(context, c):
+        if len(context) == 0:
+            below = base
+        else:
+            below = p(context[1:], c)
+        of = {g: v for g, v in counts[len(context) + 1].items() if g[:-1] == context}
+        if not of:
+            return below
+        d, total = discount(len(context) + 1), sum(of.values())
+        return max(of.get(context + c, 0) - d, 0) / total + d * len(of) / total * below
+
+    return p
+
+
+def small_corpus(spark):
+    chance = random.Random(8)
+    words = {"xx": ["ana", "banana", "an", "bé", "naan"], "yy": ["oto", "moto", "tom", "om", "ot"], "zz": ["ana", "oto", "\U00020000\u4e2d"]}
+    rows = [(k, " ".join(chance.choice(words[x]) for _ in range(30)), x) for k in range(45) for x in [("xx", "yy", "zz")[k % 3]]]
+    return spark.createDataFrame([*rows, (None, "an", "xx"), (77, None, "xx"), (78, "12", "yy"), (79, "tom", None)], "doc_id long, text string, lang string")
+
+
+def test_models_are_plain_kneser_ney(spark):
+    docs = small_corpus(spark)
+    models = language.learn(docs)
+    tops = defaultdict(lambda: defaultdict(int))
+    for r in docs.where("text is not null and lang is not null").collect():
+        for w in re.findall(r"[^\W\d]+", r.text):
+            padded = "\x02\x02\x02" + w + "\x03"
+            for k in range(len(w) + 1):
+                tops[r.lang][padded[k : k + 4]] += 1
+    base = 1 / (len({g[-1] for t in tops.values() for g in t}) + 1)
+    plain = {x: dictionary_kneser_ney(t, 4, base) for x, t in tops.items()}
+    words = ["ana", "tomana", "é", "q", "\U00020000\u4e2dom", "x" * 300]
+    got = models.arrays.word_scores(words)
+    for w, row in zip(words, got, strict=True):
+        padded = "\x02\x02\x02" + w + "\x03"
+        for x, v in zip(models.judge.languages, row, strict=True):
+            want = sum(math.log(plain[x](padded[k : k + 3], padded[k + 3])) for k in range(len(w) + 1))
+            assert abs(v - want) < 1e-4 * max(1, abs(want)), (w, x)
+    # of what follows any context, the probabilities come to one
+    chars = {g[-1] for t in tops.values() for g in t}
+    for context in ("", "a", "an", "ana"):
+        assert abs(sum(plain["xx"](context, c) for c in [*chars, "unseen"]) - 1) < 1e-9
+
+
+def test_joined_models_predict_the_same(spark):
+    docs = small_corpus(spark).withColumn("row", F.lit("own")).withColumn("kept", F.lit(1))
+    docs = docs.unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(90, "tom " * 20_000 + "q" * 20_000, None, "own", 1), (91, "", "xx", "own", 1), (91, "", "xx", "own", 1)], docs.schema))
+    taught = docs.where("lang is not null and doc_id < 60")
+    small, large = language.learn(taught), language.learn(taught, max_cells=0)
+    assert large.arrays is None and small.entries is None
+    assert abs(small.judge.limit - large.judge.limit) < 1e-4 and abs(small.judge.slack - large.judge.slack) < 1e-3
+    keep = ["doc_id", "row", "kept"]
+    rows = [sorted(map(tuple, language.predict(docs, m, keep=keep).select(*keep, "lang_pred", F.round("score", 3), "rejected").collect()), key=str) for m in (small, large)]
+    assert rows[0] == rows[1] and len(rows[0]) == docs.count()
+    assert language.predict(docs.limit(0), large, keep=keep).count() == 0
+
+
+def test_text_of_no_language_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    chance = random.Random(2)
+    long = [r for r in docs.where("length(text) > 600").orderBy("doc_id").limit(200).collect()]
+    noise = [(10**6 + k, "".join(chance.sample(r.text, len(r.text))), None) for k, r in enumerate(long)]
+    kept = {r.doc_id for r in language.keep_known(docs.unionByName(spark.createDataFrame(noise, docs.schema))).select("doc_id").collect()}
+    assert sum(k >= 10**6 for k in kept) <= 0.05 * len(noise)  # 95 in 100 are rejected
+    assert sum(k < 10**6 for k in kept) >= 0.995 * docs.where(F.col("text").rlike(r"\p{L}")).count()
 
 
 def test_calibration_of_few_or_wrong_labels(spark, monkeypatch):
@@ -156,17 +228,10 @@ def test_calibration_of_few_or_wrong_labels(spark, monkeypatch):
     bare = spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.lit("no label").alias("text"), F.lit(None).cast("string").alias("lang"))
     monkeypatch.setattr(language, "CALIBRATION", 20)
     models = language.learn(taught.unionByName(bare))
-    assert models.limit < float("inf")
+    judge, score = models.judge, models.arrays.cross_entropies
+    assert judge.limit < float("inf")
     texts, labels = [t for _, t, _ in rows], [x for _, _, x in rows]
-    models.calibrate(texts, labels)
-    limit, slack = models.limit, models.slack
-    models.calibrate([*texts, "der hund und die katze " * 2000], [*labels, "en"])
-    assert abs(models.limit - limit) < 0.1 and models.slack <= slack + 0.1
-
-
-def test_kneser_ney_sums_to_one():
-    counts = {"\x02\x02\x02a": 3, "\x02\x02ab": 2, "\x02ab\x03": 2, "\x02\x02a\x03": 1, "\x02\x02\x02b": 1, "\x02\x02b\x03": 1}
-    tables = language.kneser_ney(counts, 4, 1 / 4)
-    chars = {g[-1] for g in counts}
-    probability, backs = tables[0]
-    assert abs(sum(probability[c] for c in chars) + backs[""] * (1 - len(chars) / 4) - 1) < 1e-12
+    judge.calibrate(texts, labels, score)
+    limit, slack = judge.limit, judge.slack
+    judge.calibrate([*texts, "der hund und die katze " * 2000], [*labels, "en"], score)
+    assert abs(judge.limit - limit) < 0.1 and judge.slack <= slack + 0.1
