@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+import tracemalloc
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.llm import chat, html_extract, simhash, warc
+from tidemill.llm.html_extract import PROSE
 from tidemill.llm import queries as llm_queries
 from tidemill.llm._shared import join_counted
 
@@ -146,6 +150,94 @@ def test_nothing_beside_the_main_container_is_lost(spark):
     assert {r.text for r in html_extract.extract(rows).collect()} == {f"Title\n{lead.strip()}\n{main.strip()}\nA note"}
 
 
+def test_article_sections_of_any_name_stay():
+    text = lambda body: html_extract.Page(PAGE.format(body=body)).text("/none")
+    section = "<p>{0} one.</p><p>{0} two.</p>"
+    names = ['class="search-engines"', 'class="free-form"', 'id="market-share"', 'id="related-work"', 'class="w-1/2 popularScience"', 'id="discussion"']
+    body = "".join(f"<section {n}>{section.format(k)}</section>" for k, n in enumerate(names))
+    assert text(f"<article><h1>Head</h1>{body}</article>") == "\n".join(["Head", *(f"{k} {w}." for k in range(len(names)) for w in ("one", "two"))])
+    for name in ("ad", "ad-slot-3", "sideBar", "related-posts", "commentList", "site-footer", "cookie-banner", "post-comments", "newsletter-box"):
+        assert text(f"<article><p>Text of the article</p><div class='x {name}'><p>apart</p></div></article>") == "Text of the article", name
+    links = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    assert text(f"<article><p>See these.</p>{links}</article>") == "See these.\nFirst source\nSecond source"
+    assert text(f"<div class=text>{links}<p>Before it.</p>{links}<p>Behind it.</p>{links}</div>") == "Before it.\nFirst source\nSecond source\nBehind it."
+
+
+def test_references_and_silent_elements():
+    text = lambda body: html_extract.Page(f"<body><article>{body}</article></body>").text("/none")
+    assert text("<p>A &<b>amp;</b> &lt;b&gt; &am<!-- x -->p; C</p>") == "A &amp; <b> &am p; C".replace("am p", "amp")
+    assert text("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> end</p>") == "Energy E=m end"
+    assert text("<p>a</p><svg><title>t</title><text>no</text></svg><noscript><iframe></iframe>no</noscript><p>b") == "a\nb"
+    assert text("<p>a <button>press<p>b</p>") == "a press\nb" and text("<p>a</p><script>never closed <p>x") == "a"
+
+
+def test_deep_and_long_pages():
+    deep = "<div class=a1>" * 20_000 + "<p>" + "bottom " * 20 + "</p>" + "</section></div>" * 20_000 + "<p>after</p>"
+    tracemalloc.start()
+    began = time.process_time()
+    page = html_extract.Page(f"<body>{deep}")
+    assert page.text(page.vote()[0]) == ("bottom " * 20).strip() and page.text("/body").endswith("bottom\nafter")
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    row = "<p>" + "word &amp; more " * 60 + "</p><button>"
+    long = html_extract.Page("<body><article>" + row * 10_000 + "</article>").text("/none")
+    assert len(long.split("\n")) == 10_000 and long.startswith("word & more word")
+    assert time.process_time() - began < 30
+
+
+class PlainReader(HTMLParser):
+    """Main text of simple well-formed pages, by the standard library's parser: all within article but for what stands apart."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.run = [], [], []
+
+    def _flush(self):
+        text = " ".join("".join(self.run).split())
+        self.run = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "i", "a", "br"):
+            self._flush()
+            self.stack.append((tag, tag in ("nav", "footer", "aside", "script", "style", "form") or dict(attrs).get("class") in ("ad", "comments", "notice")))
+        elif tag == "br":
+            self.run.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a"):
+            self._flush()
+            self.stack.pop()
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(a for _, a in self.stack):
+            self.run.append(data)
+
+
+def test_random_pages_as_another_parser_reads_them():
+    chance = random.Random(12)
+    words = ["one", "two &amp; three", "&eacute;", "x &lt; y", "<b>bold</b>", "<i>it<br>alic</i>", "<a href='/q?a=1&amp;b'>link</a>", "\n  ", "&#8364;", "日本"]
+    inline = lambda: " ".join(chance.choice(words) for _ in range(chance.randint(1, 30)))
+
+    def block(depth):
+        kind = chance.choice(["p", "p", "p", "h2", "pre", "apart", "box", "list"])
+        if kind == "apart":
+            return chance.choice(["<div class='ad'>{}</div>", "<div class=comments><p>{}</p></div>", "<aside><p>{}</p></aside>", "<script>{}</script>", "<form><p>{}</p></form>"]).format("skipped text")
+        if kind == "box" and depth < 5:
+            return f"<{(t := chance.choice(['div', 'section', 'blockquote']))} class=c{depth}>" + "".join(block(depth + 1) for _ in range(chance.randint(1, 4))) + f"</{t}>"
+        if kind == "list":
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(3)) + "</ul>"
+        return f"<{kind}>{inline()}</{kind}>" if kind in PROSE else f"<p>{inline()}</p>"
+
+    for _ in range(150):
+        html = f"<html><body><nav><p>menu</p></nav><div class=notice>cookies</div><div class=page><article><h1>{inline()}</h1><p>Some text.</p>{''.join(block(0) for _ in range(chance.randint(0, 12)))}</article></div><footer>end</footer></body></html>"
+        plain = PlainReader()
+        plain.feed(html)
+        plain.close()
+        assert html_extract.Page(html).text("/none") == "\n".join(plain.blocks), html
+
+
 def test_hosts_agree_on_a_path(spark):
     page = lambda n, box: PAGE.format(body=f"<div class=story><p>{'story ' * n}</p></div><div class=x9><p>{'box ' * box}</p></div>")
     rows = [(k, "http://a.net/x", page(60, 5)) for k in range(6)] + [(6, "http://a.net/y", page(5, 40)), (7, None, page(30, 1)), (8, "http://b.net/", None), (9, "http://b.net/", ""), (9, "http://b.net/", "")]

@@ -16,6 +16,7 @@ they go; white space of any kind inside a block becomes one space.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,52 +30,70 @@ from tidemill.llm.url_rules import host_and_path
 
 #: The part of a page's good text that the container voted for must hold.
 ENOUGH = 0.8
-#: Winning paths that are broadcast; more are joined by host.
-MAX_SENT = 100_000
-
-# Fixed values of HTML: elements that hold no text of the page, that hold
-# other blocks, that end a block, and that may be left open.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "object", "canvas", "math", "title"}
+#: Bytes of hosts and winning paths up to which these are broadcast; more are joined by host.
+MAX_SENT = 16_000_000
+
+# Fixed values of HTML: elements whose content is no text of the page (the first
+# ones up to the end of a page that is cut off), that hold other blocks, that end
+# a block, and that may be left open.
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}
+SILENT = RAW | {"svg", "select", "button", "object", "canvas"}
 HOLDERS = {"html", "head", "body", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "li", "dd", "dt", "figure", "fieldset", "details", "dialog", "menu", "center", "blockquote", "hgroup", "search"}
 BREAKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "address", "figcaption", "caption", "summary", "legend", "hr", "option"}
 REOPENED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
 
-#: Elements, words of classes and ids, and roles that name what is not the article.
+#: Elements, names and roles of what is not the article.
 APART_TAGS = {"head", "nav", "aside", "form", "footer", "menu", "dialog", "fieldset", "search"}
-APART_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "banner", "billboard", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments", "consent", "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "form", "gdpr", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "paywall", "popular", "popup", "privacy", "promo", "promos", "promoted", "promotion", "recommended", "recommendations", "related", "reply", "replies", "respond", "responses", "search", "share", "sharing", "sidebar", "signin", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar", "trending", "widget", "widgets"}
-APART_WORDS |= {"alert", "alerts", "branding", "disclaimer", "logo", "tagcloud", "tags", "topnav"}
+APART_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "alert", "alerts", "banner", "billboard", "branding", "breadcrumb", "breadcrumbs", "captcha", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "disqus", "footer", "form", "gdpr", "hidden", "login", "logo", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "paywall", "popular", "popup", "promo", "promos", "promoted", "promotion", "recommended", "recommendations", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signin", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "tagcloud", "tags", "teaser", "toolbar", "topbar", "topnav", "trending", "widget", "widgets"}
 #: Beginnings of such words, as names are often written in one, but for what else begins so.
 APART_STARTS = ("advert", "breadcrumb", "commentl", "commentb", "commentf", "commentt", "cookie", "footer", "navbar", "newsletter", "promo", "recommend", "relatedp", "sidebar", "sponsor", "subscri")
-#: A block outside paragraphs and headings that is links in the main is a menu.
-LINKED = 0.8
+#: What may stand beside such a word in a name; with any other word beside it the name is of something else.
+BESIDE = {"area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "col", "column", "contact", "container", "content", "contents", "desktop", "email", "fixed", "float", "global", "group", "holder", "icon", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "local", "main", "mobile", "module", "most", "outer", "page", "panel", "posts", "primary", "reader", "region", "right", "row", "secondary", "section", "side", "site", "slot", "sticky", "stories", "strip", "thread", "top", "unit", "user", "view", "wrap", "wrapper", "zone"}
+ARTICLES = {"article", "blog", "entry", "post", "story"}
 APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
+#: The part of a block that is links above which, outside paragraphs and headings, it may be a menu.
+LINKED = 0.8
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 WHOLE = {"html", "body", "article", "main"}
 
-_SILENT = "|".join(sorted(SILENT))
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_SILENT})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?:{_SILENT})\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SILENT}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def general(name: str) -> str:
     """A class without what changes from page to page: digits become one sign."""
-    return re.sub(r"\d+", "#", name.lower())
+    return re.sub(r"\d+", "#", name.lower()).replace("/", "|")
+
+
+def names_apart(name: str) -> bool:
+    """Whether a class or id says that it is not the article: by one of the words, with nothing else than ``BESIDE`` around it."""
+    parts = [x.lower() for x in _PART.findall(name)]
+    of = [x in APART_WORDS or x.startswith(APART_STARTS) for x in parts]
+    return "".join(parts) in APART_WORDS or any(of) and all(a or x in BESIDE or x in ARTICLES for a, x in zip(of, parts, strict=True))
+
+
+def names_header(name: str) -> bool:
+    parts = [x.lower() for x in _PART.findall(name)]
+    return "header" in parts and all(x == "header" or x in BESIDE for x in parts)
 
 
 class Page:
-    """Blocks of text, each within a container; containers by parent, path and whether they stand apart."""
+    """Blocks of text, each within a container; containers by parent, label, and whether they stand apart or in an article.
+
+    Time and memory are in proportion to the page, however deep it is: only
+    the path of the container voted for is written out.
+    """
 
     def __init__(self, html: str):
-        self.parent, self.path, self.apart = [-1], [""], [False]
+        self.parent, self.label, self.apart, self.inside = [-1], [""], [False], [False]
         self.blocks: list[tuple[int, str, int, str]] = []  # container, text, characters in links, kind
         self._read(html)
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
+        open_, endless = Counter(), set()
         run: list[str] = []
         linked, in_link, kind, at = 0, False, "", 0
 
@@ -82,6 +101,7 @@ class Page:
             nonlocal linked
             if end > at:
                 piece = html[at:end]
+                piece = unescape(piece) if "&" in piece else piece  # a reference does not go on behind a tag
                 run.append(piece)
                 if in_link:
                     linked += len(piece.strip())
@@ -89,20 +109,33 @@ class Page:
         def flush() -> None:
             nonlocal linked
             if run:
-                text = "".join(run)
-                text = " ".join((unescape(text) if "&" in text else text).split())
+                text = " ".join("".join(run).split())
                 if text:
                     self.blocks.append((stack[-1][1], text, min(linked, len(text)), kind))
                 run.clear()
             linked = 0
 
-        for m in _TOKEN.finditer(html):
+        def pop() -> None:
+            open_[stack.pop()[0]] -= 1
+
+        begin = 0
+        while m := _TOKEN.search(html, begin):
             text_to(m.start())
-            at = m.end()
+            at = begin = m.end()
             tag = m[2] or m[5]
             if tag is None:
                 continue
             tag, closing, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if tag in SILENT:
+                if not closing and not (rest.endswith("/") and tag == "svg") and tag not in endless:
+                    end = _ENDS[tag].search(html, at)
+                    if end:
+                        at = begin = end.end()
+                    elif tag in RAW:
+                        at = begin = len(html)
+                    else:
+                        endless.add(tag)  # open to the end: its content is read as the page's
+                continue
             if tag not in BREAKS:
                 if tag == "a":
                     in_link = not closing
@@ -115,33 +148,43 @@ class Page:
             if tag not in HOLDERS:
                 continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_[tag]:
+                    while stack[-1][0] != tag:
+                        pop()
+                    pop()
                 continue
             while stack[-1][0] in REOPENED.get(tag, ()):
-                stack.pop()
+                pop()
             if not rest.endswith("/"):
-                stack.append((tag, self._holder(tag, rest, stack)))
+                stack.append((tag, self._holder(tag, rest, stack[-1][1])))
+                open_[tag] += 1
         text_to(len(html))
         flush()
 
-    def _holder(self, tag: str, rest: str, stack: list[tuple[str, int]]) -> int:
-        above = stack[-1][1]
-        given = {(m[1] or m[5]).lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest else {}
+    def _holder(self, tag: str, rest: str, above: int) -> int:
+        given: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(rest) if rest else ():
+            given.setdefault((m[1] or m[5]).lower(), unescape(m[2] or m[3] or m[4] or ""))
         classes = sorted(set(given.get("class", "").split()))
-        words = {x.lower() for x in _PART.findall(given.get("class", "") + " " + given.get("id", ""))}
-        inside = any(t in ("article", "main") for t, _ in stack)
+        names, inside = [*classes, given.get("id", "")], self.inside[above]
         apart = tag in APART_TAGS or given.get("role", "").lower() in APART_ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        apart = apart or (tag not in WHOLE and (bool(words & APART_WORDS) or any(w.startswith(APART_STARTS) for w in words))) or (not inside and tag not in WHOLE and (tag == "header" or "header" in words))
+        if tag not in WHOLE:
+            apart = apart or any(map(names_apart, names)) or (not inside and (tag == "header" or any(map(names_header, names))))
         self.parent.append(above)
-        self.path.append(self.path[above] + "/" + ".".join([tag, *map(general, classes)]))
+        self.label.append(".".join([tag, *map(general, classes)]))
         self.apart.append(self.apart[above] or apart)
+        self.inside.append(inside or tag in ("article", "main"))
         return len(self.parent) - 1
 
-    def vote(self) -> tuple[str, float]:
-        """The path of the container voted for, and the part of the good text that it holds.
+    def path(self, k: int) -> str:
+        labels = []
+        while k > 0:
+            labels.append(self.label[k])
+            k = self.parent[k]
+        return "".join(f"/{x}" for x in reversed(labels))
+
+    def _chosen(self) -> tuple[int, float]:
+        """The container voted for, and the part of the good text that it holds.
 
         From the innermost one that holds enough, it climbs below the body to
         the smallest that holds all that any around it holds.
@@ -153,23 +196,53 @@ class Page:
         for k in range(len(held) - 1, 0, -1):
             held[self.parent[k]] += held[k]
         if not held[0]:
-            return "", 0.0
+            return 0, 0.0
         chosen = max(k for k in range(len(held)) if held[k] >= ENOUGH * held[0])
         k = self.parent[chosen]
-        while k > 0 and self.path[k].rpartition("/")[2].partition(".")[0] not in ("html", "body"):
+        while k > 0 and self.label[k].partition(".")[0] not in ("html", "body"):
             if held[k] > held[chosen]:
                 chosen = k  # the rest of the article lies beside what holds most of it
             k = self.parent[k]
-        return self.path[chosen], held[chosen] / held[0]
+        return chosen, held[chosen] / held[0]
+
+    def vote(self) -> tuple[str, float]:
+        chosen, share = self._chosen()
+        return self.path(chosen), share
+
+    def _of_path(self, path: str) -> list[int]:
+        """The containers of this path."""
+        labels, depth, found = path.split("/")[1:], {0: 0}, []
+        if not labels:
+            return [0]
+        for k in range(1, len(self.parent)):  # parents come first
+            d = depth.get(self.parent[k])
+            if d is not None and self.label[k] == labels[d]:
+                if d + 1 == len(labels):
+                    found.append(k)
+                else:
+                    depth[k] = d + 1
+        return found
 
     def text(self, path: str) -> str:
-        """The blocks within containers of this path, without what stands apart; of the own vote if there is none."""
-        if path not in self.path:
-            path = self.vote()[0]
+        """The blocks within containers of this path, without what stands apart.
+
+        The own vote counts if there is none, or if it lies in an article
+        while those of the path lie elsewhere. Blocks of links are menus
+        before and behind the prose, but part of an article's element and of
+        what stands between prose.
+        """
+        roots, (own, _) = self._of_path(path), self._chosen()
         within = [False] * len(self.parent)
-        for k in range(len(self.parent)):
-            within[k] = self.path[k] == path or (k > 0 and within[self.parent[k]])
-        return "\n".join(text for holder, text, linked, kind in self.blocks if within[holder] and not self.apart[holder] and (kind in PROSE or linked <= LINKED * len(text)))
+        for k in roots or [own]:
+            within[k] = True
+        for k in range(1, len(within)):
+            within[k] = within[k] or within[self.parent[k]]
+        if roots and not within[own] and self.inside[own] and not any(self.inside[k] for k in roots):
+            return self.text(self.path(own))
+        blocks = [b for b in self.blocks if within[b[0]] and not self.apart[b[0]]]
+        menu = [kind not in PROSE and linked > LINKED * len(text) and not self.inside[holder] for holder, text, linked, kind in blocks]
+        prose = [k for k, m in enumerate(menu) if not m]
+        return "\n".join(b[1] for b in blocks[prose[0] : prose[-1] + 1]) if prose else ""
 
 
 def votes(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame:
@@ -179,7 +252,7 @@ def votes(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(schema)
         for batch in slices(batches):
-            found = [Page(h or "").vote() for h in batch.column(1).to_pylist()]
+            found = [Page(h.as_py() or "").vote() for h in batch.column(1)]
             yield batch_of(target, [batch.column(0), [p for p, _ in found], [s for _, s in found]])
 
     one = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).mapInArrow(run, schema)
@@ -197,7 +270,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
     keep = ["page_id", url] if keep is None else keep
     rows = pages.select(F.struct(*keep).alias("row"), host_and_path(F.col(url))[0].alias("host"), F.col(html).alias("html"))
     chosen = materialize(winners(votes(rows)), "paths")
-    sent = chosen.limit(max_sent + 1).count() <= max_sent
+    size = chosen.agg(F.sum(F.octet_length("path") + F.coalesce(F.octet_length("host"), F.lit(0)) + 32)).first()[0] or 0
+    sent = size <= max_sent
     joined = rows.join(F.broadcast(chosen) if sent else chosen, "host", "left").select("row", "path", "html")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 
