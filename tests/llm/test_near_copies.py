@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from tidemill.llm import minhash
+from tidemill.llm import bands, simhash
 
 
 def grams(text) -> set:
@@ -41,12 +41,12 @@ def near_texts() -> list:
 def test_near_copies_are_brute_force(spark, monkeypatch):
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for few, heads in ((minhash.FEW, minhash.HEADS), (0, 1)):
-        monkeypatch.setattr(minhash, "FEW", few)
-        monkeypatch.setattr(minhash, "HEADS", heads)
-        kept = minhash.deduplicate(docs)
+    for few, heads in ((bands.FEW, bands.HEADS), (0, 1)):
+        monkeypatch.setattr(bands, "FEW", few)
+        monkeypatch.setattr(bands, "HEADS", heads)
+        kept = simhash.drop_near_copies(docs)
         assert sorted(r.doc_id for r in kept.collect()) == brute_heads(texts) and kept.columns == docs.columns
-    assert minhash.deduplicate(docs.limit(0)).count() == 0
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
 def test_pipeline_stage_drops_near_copies(spark):
@@ -61,6 +61,7 @@ def test_repeated_and_null_ids(spark):
     x, y, z = ("".join(f"{c}{k} " for k in range(50)) for c in "xyz")
     rows = [(1, x), (1, y), (None, z), (None, z + "end"), (None, x), (2, y), (1, y)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [(r.doc_id, r.text) for r in minhash.deduplicate(docs).collect()]
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()]
     assert sorted(k for k in kept if k[0]) == [(1, x), (1, y)]  # neither of two texts of one id is lost
+    assert sorted((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect() if r.doc_id) == [(1, x), (1, y)]
     assert len(kept) == 3 and [i for i, t in kept if t.startswith("z0 ")] == [None]

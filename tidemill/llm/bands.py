@@ -1,13 +1,10 @@
-"""Near-duplicates by five-word shingles: candidates from MinHash bands, confirmed by exact Jaccard similarity.
+"""What operator 9's ``drop_near_copies`` links beyond the fingerprints' radius: candidates from bands of minima, confirmed by exact Jaccard similarity of five-word shingles.
 
 Texts of the same words share one key. A pair at the limit of 0.8 misses all
 bands, of ``ROWS`` minima each, in 3 of 100,000 cases, a pair at 0.85 in 4 of
 ten million; whatever shares a band is compared by its whole set of shingles.
 In each bucket all are first compared with one head, until what is not
 connected yet is little enough to be compared pair by pair.
-
-Defined results: texts without a word are copies of each other; a text of up
-to five words is one shingle; links chain, as those of ``simhash`` do.
 """
 
 from __future__ import annotations
@@ -22,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, slices, utf8
-from tidemill.llm.simhash import components
+from tidemill.llm.components import components
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 4
 #: Rounds of heads at most, and pairs for each row in a bucket below which the rest is compared pair by pair.
@@ -47,10 +44,18 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        votes += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
+
+
 def with_shingles(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, the key of the words, the bands and the shingles."""
+    """``keep``, the key of the words, the bands, the SimHash fingerprint of the distinct shingles, and these."""
     longs = T.ArrayType(T.LongType(), False)
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("key", T.LongType(), False), T.StructField("bands", longs, False), T.StructField("shingles", longs, False)])
+    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("key", T.LongType(), False), T.StructField("bands", longs, False), T.StructField("fp", T.LongType(), False), T.StructField("shingles", longs, False)])
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +64,7 @@ def with_shingles(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             words = [(t or b"").lower().split() for t in batch.column(n).to_pylist()]
             sets = [shingles(w) for w in words]
             keys = [xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63) for w in words]
-            yield batch_of(target, [*(batch.column(i) for i in range(n)), keys, [bands(s) for s in sets], pa.array([s.view(np.int64) for s in sets], target.field("shingles").type)])
+            yield batch_of(target, [*(batch.column(i) for i in range(n)), keys, [bands(s) for s in sets], [majority(s) for s in sets], pa.array([s.view(np.int64) for s in sets], target.field("shingles").type)])
 
     return docs.select(*keep, utf8(text).alias("__text")).mapInArrow(run, schema)
 
@@ -80,15 +85,16 @@ def by_key(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
 
 
-def linked(sets: DataFrame) -> DataFrame:
-    """(node, root): the components of the links between the keys of ``sets`` (key, bands, shingles)."""
+def linked(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, root): the components of the links between the keys of ``sets`` (key, bands, shingles); ``near`` (a, b) are tried first."""
     each = sets.groupBy("key").agg(F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("w"))
     rows = each.where("w > 0").select("key", "w", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(join_counted(rows, buckets, "band", rows.count()), "buckets")
     total = members.count()
     alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
-    links = tried = members.sparkSession.createDataFrame([], "a long, b long")
+    tried = materialize(near, "pairs")
+    links = materialize(confirmed(tried, sets.select("key", "shingles")), "links")
     roots = components(links)
     for r in range(HEADS + 1):
         named = members.join(by_key(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -113,13 +119,3 @@ def linked(sets: DataFrame) -> DataFrame:
         if last:
             break
     return roots
-
-
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component: that with the smallest id, then by the words and the whole row; null ids come last."""
-    whole = docs.withColumn("__row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
-    sets = materialize(with_shingles(whole, text, [doc_id, "__row"]), "shingles")
-    of_key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "key", "__row")
-    firsts = sets.groupBy("key").agg(F.min(of_key).alias("first")).join(by_key(linked(sets)), "key", "left")
-    heads = firsts.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first")).select("first.__row").distinct()
-    return whole.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

@@ -5,11 +5,14 @@ four 16-bit parts, so each part's value names a shard, and every link lies in
 some shard. A shard's BK-tree is searched along the edges within the radius
 while it is built; only a spanning forest of its links leaves the task. A
 shard that holds many fingerprints is cut by its remaining bits in the same
-way, which loses no link: three differences spare one of their four pieces.
+way until it is small, which loses no link.
 
 Defined results: a null or empty text, or one of white space, has fingerprint
 zero, which is linked like any other; repeated rows come out repeated; rows
 without an id take part and show the component of their text.
+
+``drop_near_copies`` keeps one document of each group of near copies by
+another measure than three bits: see there.
 """
 
 from __future__ import annotations
@@ -19,15 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.llm import bands
 from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, slices, utf8
+from tidemill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a shard beyond which it is cut further; a count, so that none is left out.
 DENSE = 2_000
+#: Crowded shards, of 50 bytes or so, up to which their table is broadcast.
+MAX_SENT = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -139,28 +146,45 @@ def _signed(column) -> np.ndarray:
     return np.array(column, np.uint64).view(np.int64)
 
 
+def _long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shards(prints: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(fp, mask): each fingerprint in the shards of all that share its bits under the mask, so that every link lies in some shard.
+
+    A shard of more than ``dense`` is cut by its free bits, again and again:
+    three differences spare one of four pieces of them. With eight free bits
+    left there are no more than 256 fingerprints.
+    """
+    spark = prints.sparkSession
+    rows = prints.select("fp", F.explode(F.array(*(F.lit(_long(m)) for m in PARTS))).alias("mask"))
+    done = None
+    while True:
+        rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        crowded = materialize(rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > dense).drop("n"), "crowded")
+        n = crowded.count()
+        free = [(m, FULL & ~m) for (m,) in crowded.select("mask").distinct().collect()]  # four times as many from cut to cut, 16,384 at last
+        cut = [(m, [_long(m & FULL | piece) for piece in pieces(f)]) for m, f in free if f.bit_count() > 8]
+        if not cut:
+            return rows if done is None else done.unionByName(rows)
+        finer = crowded.join(F.broadcast(spark.createDataFrame(cut, "mask long, finer array<long>")), "mask")
+        marked = rows.join(F.broadcast(finer) if n <= MAX_SENT else finer, ["mask", "value"], "left")
+        rest = marked.where("finer is null").drop("finer")
+        done = rest if done is None else done.unionByName(rest)
+        rows = materialize(marked.where("finer is not null").select("fp", F.explode("finer").alias("mask")), "shards")
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the radius: enough of them to connect all that are linked.
 
-    ``prints`` has distinct values in ``fp``. The four parts take 65,536 values
-    each, so the table of dense shards has at most 262,144 rows and can be
-    broadcast; their members are dealt out by a second part as well.
+    ``prints`` has distinct values in ``fp``.
     """
     if radius != RADIUS:
         raise ValueError("the four parts hold for a radius of 3")
     sc_schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
-    part = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    at = lambda k: F.lit(k << 16).cast("long").bitwiseOR(part(k))
-    shards = prints.select("fp", F.explode(F.array(*(at(k) for k in range(4)))).alias("shard"))
-    sizes = shards.groupBy("shard").count()
-    crowded = F.broadcast(sizes.where(F.col("count") > dense).select("shard", F.lit(True).alias("crowded")))
-    marked = shards.join(crowded, "shard", "left")
-    # within a crowded shard 48 bits are free; three differences spare one of four pieces of twelve
-    sub = F.array(*(F.struct(F.lit(k).alias("k"), _gather(F.col("fp"), F.col("shard"), k).alias("v")) for k in range(4)))
-    dealt = marked.select("fp", "shard", F.explode(F.when(F.col("crowded"), sub).otherwise(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("v"))))).alias("sub"))
-    key = F.struct("shard", F.col("sub.k"), F.col("sub.v"))
-    grouped = dealt.select("fp", F.xxhash64(key).alias("h"), F.col("shard"), F.col("sub.k").alias("k"), F.col("sub.v").alias("v"))
-    ordered = grouped.repartition(F.col("h")).sortWithinPartitions("h", "shard", "k", "v", "fp")
+    grouped = shards(prints, dense).select("fp", F.xxhash64("mask", "value").alias("h"), "mask", "value")
+    ordered = grouped.repartition(F.col("h")).sortWithinPartitions("h", "mask", "value", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = arrow_schema(sc_schema)
@@ -177,7 +201,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, dense: int = DENS
 
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            keys = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4)])
+            keys = np.stack([batch.column(i).to_numpy() for i in (2, 3)])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(fps)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
@@ -196,46 +220,6 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, dense: int = DENS
     return ordered.mapInArrow(run, sc_schema)
 
 
-def _gather(fp, shard, k: int):
-    """The value of the k-th of four pieces of the bits outside the shard's own part."""
-    out = F.lit(0).cast("long")
-    for part, mask in enumerate(PARTS):
-        piece = pieces(FULL & ~mask)[k]
-        signed = piece - (1 << 64) if piece >> 63 else piece
-        out = F.when(F.shiftright(shard, 16) == part, fp.bitwiseAND(F.lit(signed).cast("long"))).otherwise(out)
-    return out
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (a, b): its component's smallest node.
-
-    Rounds of large-star and small-star: each hangs nodes below the smallest
-    neighbour known, until nothing changes. Every round is written to the
-    shared folder, so that a lost executor costs no earlier round.
-    """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    now = sign(edges)
-    for _ in range(rounds if now[0] else 0):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # a component's head has all of its members beside it
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both, least, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small-star: all that is known of u, and u itself, goes below the smallest of it
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        following = materialize(small, "links")
-        then = sign(following)
-        edges = following
-        if now == then:
-            break
-        now = then
-    else:
-        if now[0]:
-            raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _named(prints: DataFrame, total: int) -> DataFrame:
     """fp, n (rows that have it) and component_id of every fingerprint."""
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
@@ -247,24 +231,62 @@ def _named(prints: DataFrame, total: int) -> DataFrame:
     return firsts.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
 
 
-def _prints(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return materialize(with_fingerprint(docs, text, [doc_id]), "prints").withColumnRenamed(doc_id, "doc_id")
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
-    prints = _prints(docs, text, doc_id)
+    prints = materialize(with_fingerprint(docs, text, [doc_id]), "prints").withColumnRenamed(doc_id, "doc_id")
     total = prints.count()
     names = materialize(_named(prints, total), "names")
     return join_counted(prints, names, "fp", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row", F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull()))))
+
+
+def _first(doc_id: str, key: str) -> Column:
+    """The row that stays: with the smallest id, then by the key and the whole row; null ids come last."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key, "__row")).alias("first")
+
+
+def _heads(whole: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``whole`` that are first in their component, from (key, first) and (key, root)."""
+    named = firsts.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root"))
+    heads = named.agg(F.min("first").alias("first")).select("first.__row").distinct()
+    return whole.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that have the smallest id of their component; one row each.
+    """One row of each component of the fingerprints, in the documents' own columns; equal rows are one."""
+    whole = _numbered(docs)
+    prints = with_fingerprint(whole, text, [doc_id, "__row"])
+    firsts = materialize(prints.withColumnRenamed("fp", "key").groupBy("key").agg(_first(doc_id, "key")), "prints")
+    return _heads(whole, firsts, bands.by_key(components(fingerprint_links(firsts.select(F.col("key").alias("fp"))))))
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each group of near copies, in the documents' own columns.
+
+    Near copies have at least four fifths of their five-word shingles in
+    common, which chains. Links within three bits of the five-word
+    fingerprints come first; as these leave most pairs at that similarity
+    apart, ``bands`` brings the other candidates. All are confirmed by their
+    whole shingles.
 
-    Rows without an id can't be told apart and all stay.
+    Texts without a word are copies of each other; a text of up to five words
+    is one shingle; equal rows are one.
     """
-    prints = _prints(docs, text, doc_id)
-    heads = _named(prints, prints.count()).select(F.col("component_id").alias(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
-    kept = docs.where(F.col(doc_id).isNotNull()).join(heads, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
+    whole = _numbered(docs)
+    sets = materialize(bands.with_shingles(whole, text, [doc_id, "__row"]), "shingles")
+    firsts = sets.groupBy("key").agg(_first(doc_id, "key"))
+    return _heads(whole, firsts, bands.by_key(bands.linked(sets, near_keys(sets))))
+
+
+def near_keys(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different keys whose fingerprints link: enough to connect all that do."""
+    prints = materialize(sets.where(F.size("shingles") > 0).groupBy("fp", "key").agg(F.count("*").alias("rows")).drop("rows"), "prints")
+    heads = materialize(prints.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
+    same = join_counted(prints, heads.where("n > 1"), "fp", prints.count()).select(F.col("head").alias("a"), F.col("key").alias("b"))
+    links = fingerprint_links(heads.select("fp"))
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_key"))
+    across = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    return same.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
