@@ -1,11 +1,21 @@
-"""Five operators in a row over the documents, each stage on all that the one before kept."""
+"""Five operators in a row over the documents, each stage on all that the one before kept.
+
+Defined results: a null or empty text has no words and goes in the first stage;
+rows without an id are judged like others, and of a group of near copies a row
+with an id stays before one without; of repeated rows one stays; ids of
+different texts may be equal; columns of any other name, those that the
+operators use for their own results included, come through all stages but the
+last; empty tables of documents, labels or items give an empty result, no
+learned rule, or no contamination; without any language label nothing is known
+and no document stays.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, decontaminate, language, minhash, quality_rules
+from tidemill.llm import bpe, decontaminate, language, quality_rules, simhash
 from tidemill.llm._shared import materialize, table
 
 
@@ -18,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return simhash.drop_near_copies(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("language ID", known_language),
-    ("MinHash near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", benchmark_passages),
     ("BPE encoding and decoding", token_ids),
 ]
