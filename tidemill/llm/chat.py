@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of
+from tidemill.llm._shared import arrow_schema, batch_of, kept, slices
 
 MARKS = ("<s>", "[INST]", "[/INST]", "</s>")
 LEARNED = "assistant"
@@ -79,14 +79,8 @@ class TokenCodec:
         return "".join([*out, self.text_of(run)])
 
 
-_codecs: dict[int, TokenCodec] = {}
-
-
 def codec(ranks_file: bytes, pattern: str) -> TokenCodec:
-    key = hash((ranks_file, pattern))
-    if key not in _codecs:
-        _codecs[key] = TokenCodec(ranks_file, pattern)
-    return _codecs[key]
+    return kept(("codec", hash((ranks_file, pattern))), lambda: TokenCodec(ranks_file, pattern))
 
 
 def format_turns(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -102,7 +96,7 @@ def format_turns(conversations: DataFrame, ranks_path: str, pattern: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, c = arrow_schema(schema), codec(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             turns = [c.turn(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch_of(target, [*batch.columns, [i for i, _ in turns], [[at for at, _ in s] for _, s in turns], [[d for _, d in s] for _, s in turns]])
 
@@ -152,7 +146,7 @@ def read_back(formatted: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, c = arrow_schema(schema), codec(*shared.value)
         current, reader = None, None
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             names = batch.column(0).to_pylist()
             lists = [batch.column(k) for k in (1, 2, 3)]
