@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, slices, utf8
+from tidemill.llm._shared import arrow_schema, batch_of, kept, materialize, slices, utf8
 from tidemill.llm.automaton import ROOT, SuffixAutomaton
 
 WINDOW = 13
 #: Bytes of item texts that one automaton holds; more items go through the documents in further passes.
 ITEM_BYTES = 4 << 20
+#: Automata in one pass, of which each core holds as many.
+CHAIN = 4
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
@@ -106,15 +108,9 @@ class ItemMatcher:
                 spans.append((start, i + 1))
 
 
-_matchers: dict[str, ItemMatcher] = {}
-
-
 def matcher(name: str, items: list[tuple[str, bytes]], window: int) -> ItemMatcher:
     """The automaton of a block of items, built once for each Python worker, which keeps the last one."""
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = ItemMatcher(items, window)
-    return _matchers[name]
+    return kept(("matcher", name), lambda: ItemMatcher(items, window))
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -131,16 +127,15 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", keep: list
     the items found, and the text without the spans (null if there are none).
 
     The items' size is checked. Up to ``block_bytes`` they are broadcast; with
-    more, the rows pass through one automaton for each block of items.
+    more, the rows pass through one automaton for each block of items, and are
+    written down after every ``CHAIN`` of them, whose broadcasts then go.
     """
     keep = ["doc_id"] if keep is None else keep
     sc = docs.sparkSession.sparkContext
     rows = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), utf8(text).alias("text"))
     carried = T.StructType([*rows.schema.fields, *FOUND])
 
-    def passing(block, previous: bool):
-        shared = sc.broadcast((uuid.uuid4().hex, block, window))
-
+    def passing(shared, previous: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             target, found_by = arrow_schema(carried), matcher(*shared.value)
             n = len(keep) + 1
@@ -154,8 +149,14 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", keep: list
 
         return run
 
+    sent = []
     for k, block in enumerate(_blocks(items, item_id, item_text, block_bytes)):
-        rows = rows.mapInArrow(passing(block, k > 0), carried)
+        if len(sent) == CHAIN:
+            rows = materialize(rows, "found")
+            while sent:
+                sent.pop().destroy()
+        sent.append(sc.broadcast((uuid.uuid4().hex, block, window)))
+        rows = rows.mapInArrow(passing(sent[-1], k > 0), carried)
     return rows.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "n_words", "n_hit", "spans", "items", "clean")
 
 
