@@ -64,16 +64,16 @@ def rules_of_thumb(url, rules):
     return (host, path, *(max(fits, key=lambda x: len(x[0])) if fits else (None, "allow")))
 
 
-@pytest.mark.parametrize("swept", [url_rules.MAX_SWEPT, 3])
-def test_url_rules(spark, swept):
+@pytest.mark.parametrize(("sent", "rows"), [(url_rules.MAX_SENT, 1), (3, url_rules.RANGE_ROWS), (3, 6)])
+def test_url_rules(spark, sent, rows):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("a.example.org", "/en/", "allow")]
     chance = random.Random(1)
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x?u=://y", "https://example.org", "x://org/", "s://xexample.org/es/", "s://b.a.example.org/en/12#z", "s://..org/", "http://example.org/es/\nx"]
     urls += [f"http://{chance.choice(['', 'a.', 'b.a.', 'www.'])}{chance.choice(['example.org', 'org', 'com', 'exampleorg', 'net'])}/{chance.choice(['es/', 'en/1', 'fr/x', 'de/', ''])}" for _ in range(150)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
-    got = sorted(map(tuple, url_rules.judge(pages, spark.createDataFrame(rules, url_rules.RULES), max_swept=swept).collect()))
+    got = sorted(map(tuple, url_rules.judge(pages, spark.createDataFrame(rules, url_rules.RULES), max_sent=sent, range_rows=rows).collect()))
     assert got == [(k, *rules_of_thumb(u, rules)) for k, u in enumerate(urls)]
-    assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, url_rules.RULES)).count() == 0
+    assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, url_rules.RULES), max_sent=sent, range_rows=rows).count() == 0
     assert url_rules.judge(pages, spark.createDataFrame([], url_rules.RULES)).where("rule is not null").count() == 0
 
 
@@ -116,6 +116,36 @@ def test_learned_rules_separate(spark, folder):
     assert 1 <= len(learned.rules) <= 4 and "case" not in str(learned).lower()
 
 
+def test_verdicts_are_those_of_the_list_in_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    learned = quality_rules.learn_list(quality_rules.labelled_sample(docs, labels))
+    assert learned.rules
+
+    def rejected(text):
+        n, chars, symbols, dups, repeats, failed = brute_statistics(text)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        row = {"mean_word": chars / max(n, 1), "symbols_a_word": symbols / max(n, 1), "marks_a_word": (text or "").count("!") / max(n, 1), "capitals_a_character": len(re.findall("[A-Z]", text or "")) / max(chars, 1)}
+        row |= {"twins_a_word": sum(a == b for a, b in zip(w, w[1:])) / max(n, 1), "repeats_a_word": repeats / max(n, 1), "dup_lines": float(dups), "words": float(n)}
+        return failed or any(all(c.holds(row) for c in rule) for rule in learned.rules)
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {k for k, t in texts.items() if not rejected(t)}
+    assert {r.doc_id for r in quality_rules.report(docs, labels).where("kept").collect()} == want
+    assert {r.doc_id for r in quality_rules.keep_good(docs, labels).select("doc_id").collect()} == want
+
+
+def test_sample_of_labels(spark):
+    docs = spark.createDataFrame([(k % 50, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(5000)], "doc_id long, quality int, toxic int")
+    rows = quality_rules.labelled_sample(docs, labels, limit=60)
+    assert len(rows) == 50 == len(quality_rules.labelled_sample(docs.unionByName(docs), labels, limit=60))  # labels without a document take no room
+    assert quality_rules.labelled_sample(docs, labels, limit=60) == rows and len(quality_rules.labelled_sample(docs, labels, limit=7)) == 7
+    text = docs.where("doc_id is not null")
+    plan = quality_rules.keep_good(text, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") <= 2  # lines and windows, once each
+
+
 def test_plan_of_quality_rules_has_no_python(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     plan = quality_rules.report(docs, labels)._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,8 @@ A host's labels, reversed and each ended by a dot, make a key under which a
 host and all its subdomains form one interval. URLs are dealt out by ranges of
 that key and sorted; a sweep over them and the sorted rules keeps a stack of
 the rules whose intervals are open, one inside the other. Of the open rules
-whose path begins the URL's path, the longest decides.
+whose path begins the URL's path, the longest decides. Up to ``MAX_SENT`` rules
+are broadcast; of more, each range of URLs gets those whose intervals overlap it.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path and no rule; of rules with equal host and path, block wins; of rules of
@@ -15,16 +16,19 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of
+from tidemill.llm._shared import arrow_schema, batch_of, materialize, slices
 
-#: Rules that the sweep takes; a larger table goes through an equi-join on the URL's hosts.
-MAX_SWEPT = 500_000
+#: Rules, of 100 bytes or so, up to which all are sent to every range of URLs.
+MAX_SENT = 100_000
+#: URLs and rules in a range, about, where rules are dealt out, and keys looked at for each border.
+RANGE_ROWS, LOOKED_AT = 200_000, 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -97,40 +101,84 @@ class RuleSweep:
 RULES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = "allow", max_swept: int = MAX_SWEPT) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = "allow", max_sent: int = MAX_SENT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """key, host, path, rule (null if none fits) and verdict of every row.
 
     ``rules`` has host, path and verdict. Its size is checked: what is within
-    ``max_swept`` is broadcast to the sweep, more is joined.
+    ``max_sent`` is broadcast to the sweep, more is dealt out with the URLs.
     """
     wanted = rules.select("host", "path", "verdict").where("host is not null and host <> '' and path is not null and verdict in ('allow', 'block')").distinct()
     host, path = host_and_path(F.col(url))
-    urls = pages.select(F.col(key).alias("id"), host.alias("host"), path.alias("path"))
-    taken = wanted.limit(max_swept + 1).collect()
-    if len(taken) > max_swept:
-        return _joined(urls, wanted, key, default)
+    urls = pages.select(F.col(key).alias("id"), host.alias("host"), path.alias("path")).withColumn("k", reversed_key(F.col("host")))
+    schema = T.StructType([T.StructField(key, urls.schema["id"].dataType), *(T.StructField(c, T.StringType(), c == "rule") for c in ("host", "path", "rule", "verdict"))])
+    taken = wanted.limit(max_sent + 1).collect()
+    if len(taken) > max_sent:
+        return _swept_together(urls, wanted, schema, default, range_rows)
     shared = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in taken])
     n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = urls.withColumn("k", reversed_key(F.col("host"))).repartitionByRange(n, "k", "path", "id").sortWithinPartitions("k", "path", "id")
-    schema = T.StructType([T.StructField(key, urls.schema["id"].dataType), *(T.StructField(c, T.StringType(), c == "rule") for c in ("host", "path", "rule", "verdict"))])
+    ordered = urls.repartitionByRange(n, "k", "path", "id").sortWithinPartitions("k", "path", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, sweep = arrow_schema(schema), RuleSweep(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [sweep.best(k, p) for k, p in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield batch_of(target, [batch.column(0), batch.column(1), batch.column(2), [f and f[0] for f in found], [f[1] if f else default for f in found]])
 
     return ordered.mapInArrow(run, schema)
 
 
-def _joined(urls: DataFrame, rules: DataFrame, key: str, default: str) -> DataFrame:
-    """For rule tables of any size: each URL meets the rules of its host and of the hosts above it."""
-    labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    there = urls.withColumn("__u", F.monotonically_increasing_id())
-    near = there.select("__u", "path", F.explode(above).alias("host"))
-    of = rules.select("host", F.col("path").alias("rule_path"), "verdict")
-    fits = near.join(of, "host").where(F.startswith("path", "rule_path"))
-    order = F.struct(F.length("host") + F.length("rule_path"), F.length("host"), F.col("verdict") == "block")
-    best = fits.groupBy("__u").agg(F.max_by(F.struct(F.concat("host", "rule_path").alias("rule"), "verdict"), order).alias("b"))
-    return there.join(best, "__u", "left").select(F.col("id").alias(key), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+def _swept_together(urls: DataFrame, rules: DataFrame, schema: T.StructType, default: str, range_rows: int) -> DataFrame:
+    """URLs and rules dealt out by the same ranges of the key; a range's rules come first.
+
+    Borders are taken from a sample of the URLs' keys. A host that is the
+    border of several ranges is dealt out among these by a hash of the path.
+    A rule goes to all ranges that its host's interval overlaps.
+    """
+    spark = urls.sparkSession
+    urls, rules = materialize(urls, "urls"), materialize(rules.withColumn("k", reversed_key(F.col("host"))), "rules")
+    total = urls.count()
+    n = max(1, -(-(total + rules.count()) // range_rows))
+    sample = sorted(r.k for r in urls.select("k").sample(min(1.0, LOOKED_AT * n / max(1, total)), seed=42).collect())  # some twenty a range
+    borders = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
+    shared = spark.sparkContext.broadcast(borders)
+    dealt_schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("is_url", T.BooleanType()), T.StructField("k", T.StringType()), *(urls.schema[c] for c in ("id", "host", "path")), T.StructField("verdict", T.StringType())])
+
+    def of_url(k: str, path: str) -> list[int]:
+        low, high = bisect_left(shared.value, k), bisect_right(shared.value, k)
+        return [low + crc32(path.encode()) % (high - low + 1)]
+
+    def of_rule(k: str, path: str) -> list[int]:
+        return list(range(bisect_left(shared.value, k), bisect_right(shared.value, k + "\U0010ffff") + 1))
+
+    def dealt(parts):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            target = arrow_schema(dealt_schema)
+            for batch in slices(batches):
+                places = list(map(parts, batch.column("k").to_pylist(), batch.column("path").to_pylist()))
+                rows = batch.take(pa.array([i for i, p in enumerate(places) for _ in p], pa.int64()))
+                none = pa.nulls(rows.num_rows)
+                columns = [rows.column(c) if c in rows.schema.names else none for c in ("k", "id", "host", "path", "verdict")]
+                yield batch_of(target, [[x for p in places for x in p], [parts is of_url] * rows.num_rows, *columns])
+
+        return run
+
+    both = urls.mapInArrow(dealt(of_url), dealt_schema).unionByName(rules.mapInArrow(dealt(of_rule), dealt_schema))
+    ordered = both.repartition(n, "part").sortWithinPartitions("part", "is_url", "k", "path", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, part, known, sweep = arrow_schema(schema), None, [], None
+        for batch in slices(batches):
+            out = []
+            for at, is_url, k, own, host, path, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != part:
+                    part, known, sweep = at, [], None
+                if not is_url:
+                    known.append((host, path, verdict))
+                    continue
+                sweep = sweep or RuleSweep(known)
+                found = sweep.best(k, path)
+                out.append((own, host, path, *(found or (None, default))))
+            if out:
+                yield batch_of(target, [list(x) for x in zip(*out, strict=True)])
+
+    return ordered.mapInArrow(run, schema)
