@@ -199,3 +199,80 @@ def test_iteration(spark, folder):
     sources = docs.select(F.col("source").alias("category"), F.col("doc_id").alias("source_id"), F.substring("text", 1, 30).alias("question"))
     got = iterate(judged, sources, Canned(), Settings(generated=60, target=40, candidates=5))
     assert got.count() >= 40 and got.select("question_id").distinct().count() == got.count()
+
+
+def test_rows_without_a_group_stay(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 6.0)], "uid string, score double")
+    assert sorted(r.advantage for r in advantage.rloo(rows).collect()) == [-4.0, -2.0, 2.0, 4.0]
+    assert advantage.grpo(rows).count() == 4
+    base = spark.createDataFrame([("a", 1.0), (None, 2.0)], "uid string, baseline double")
+    assert sorted(r.advantage for r in advantage.remax(rows, base).collect()) == [0.0, 0.0, 2.0, 4.0]
+
+
+@pytest.mark.parametrize("range_rows", [1, 7, 1000])
+def test_ranks_over_ranges(spark, range_rows):
+    chance = random.Random(4)
+    rows = [(chance.choice(["a", "b", None]), chance.choice([None, "x", "y", "zz"]), chance.randint(0, 5), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, s string, n int, id long")
+    got = {r.id: r.place for r in quota.ranked_within(df, "g", ["s", "n", "id"], "place", range_rows).collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2], r[3]))
+        assert [got[r[3]] for r in own] == list(range(1, len(own) + 1))
+    assert quota.ranked_within(df.limit(0), "g", ["id"], "place", range_rows).count() == 0
+
+
+def test_one_valid_token(spark):
+    rows = spark.createDataFrame([([1.0, 5.0], [0.0, 1.0])], "v array<double>, m array<double>")
+    got = advantage.masked_moments(rows, "v", "m").first()
+    assert abs(got.mean - 5.0) < 1e-6 and got["var"] == pytest.approx(0.0, abs=1e-12)
+    assert len(advantage.whiten(rows, "v", "m").first().whitened) == 2
+
+
+def test_comparison_of_huge_answers_ends():
+    assert not grading.same_answer("1e99999999", "2e99999999") and grading.same_answer("1e3", "1000")
+    assert not grading.same_answer("9" * 5000, "9" * 5000 + "1") and grading.same_answer("9" * 5000, "9" * 5000)
+
+
+def test_votes_count_equal_texts_once(spark):
+    rows = [("q", 5, "1.0"), ("q", 1, "2"), ("q", 2, "1"), ("q", 3, "2.0"), ("q", 4, "1"), ("q", 6, None), ("none", 0, ""), (None, 0, "x")]
+    df = spark.createDataFrame(rows, "question_id string, candidate_index long, text string")
+    got = {r.question_id: tuple(r)[1:] for r in grading.majority_of_classes(df).collect()}
+    assert got == {"q": ("1", 3, 5, 0.6), "none": (None, 0, 0, 0.0), None: ("x", 1, 1, 1.0)}
+    assert {r.total for r in grading.majority_of_classes(df, denominator="all").collect()} == {6, 1}
+
+
+def test_replies_keep_the_callers_columns(spark):
+    rows = spark.createDataFrame([("hi", 1, 2), ("hi", 3, 4), (None, 5, 6)], "prompt string, p long, r long")
+    got = ask(rows, "prompt", Canned(("ok",)))
+    assert got.columns == ["prompt", "p", "r", "reply"] and sorted(map(tuple, got.collect()), key=str) == sorted([("hi", 1, 2, "ok"), ("hi", 3, 4, "ok"), (None, 5, 6, None)], key=str)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 200])
+def test_folds_over_blocks(spark, n):
+    chance = random.Random(n)
+    rewards, mask = [chance.random() for _ in range(n)], [float(chance.random() < 0.8) for _ in range(n)]
+    rows = spark.createDataFrame([(rewards, mask)], "r array<double>, m array<double>")
+    got = rows.select(A.discounted_returns(F.col("r"), F.col("m"), 0.9).alias("d"), A.position_ids(F.transform("m", lambda x: x.cast("long"))).alias("p")).first()
+    carried, want = 0.0, []
+    for r, m in zip(rewards[::-1], mask[::-1], strict=True):
+        want.append(r + 0.9 * carried)
+        carried = want[-1] * m
+    assert got.d == pytest.approx(want[::-1])
+    assert got.p == [max(int(sum(mask[: k + 1])) - 1, 0) for k in range(n)]
+
+
+def test_variants_of_large_and_missing_sources(spark, monkeypatch):
+    monkeypatch.setattr(quota, "RANGE_ROWS", 10)
+    gap = spark.createDataFrame([("a", 7), ("c", 2)], "category string, gap long")
+    sources = spark.createDataFrame([("a", k) for k in range(50)] + [("a", None), ("other", 1)], "category string, source_id long")
+    got = sorted(map(tuple, quota.variants(gap, sources).collect()), key=str)
+    assert got == sorted([*(("a", k, 0, 1) for k in range(7)), ("c", None, 0, 2), ("c", None, 1, 2)], key=str)
+
+
+def test_restored_state_keeps_counts(spark):
+    old = spark.createDataFrame([("a", 5), ("b", 2), (quota.FLEXIBLE, 3)], "category string, quota long")
+    new = spark.createDataFrame([("a", 6), ("b", 2), (quota.FLEXIBLE, 4)], "category string, quota long")
+    counts = spark.createDataFrame([("a", 4), (quota.FLEXIBLE, 1)], "category string, count long")
+    state, changes = quota.restore(quota.snapshot(old, counts), new)
+    assert {tuple(r) for r in state.collect()} == {("a", 6, 4), ("b", 2, 0), (quota.FLEXIBLE, 4, 1)}
+    assert [tuple(r) for r in changes.collect()] == [("a", 5, 6)]

@@ -28,11 +28,34 @@ def response_mask(ids: Column, stop: Sequence[int]) -> Column:
     return F.transform(ids, lambda _, i: F.when(i < F.coalesce(first, F.size(ids)), 1).otherwise(0))
 
 
+#: Elements of a block of a running fold.
+BLOCK = 64
+
+
+def _running(items: Column, start: Column, step, kind: str) -> Column:
+    """What each step of a fold puts out, in order; a step gives the carried value and what is put out.
+
+    The fold goes by blocks, so that adding to the list of results copies a
+    block at most, and a reference for each block before it: the work for L
+    elements grows as L times the block's length, not with the square of L.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def one(a, x):
+        carried, put = step(a["c"], x)
+        return F.struct(carried.alias("c"), F.concat(a["out"], F.array(put)).alias("out"))
+
+    def block(a, some):
+        inner = F.aggregate(some, F.struct(a["c"].alias("c"), F.array().cast(f"array<{kind}>").alias("out")), one)
+        return F.get(F.transform(F.array(inner), lambda s: F.struct(s["c"].alias("c"), F.concat(a["out"], F.array(s["out"])).alias("out"))), F.lit(0))
+
+    return F.aggregate(blocks, F.struct(start.alias("c"), F.array().cast(f"array<array<{kind}>>").alias("out")), block, lambda a: F.flatten(a["out"]))
+
+
 def position_ids(mask: Column) -> Column:
     """Running count of the mask less one, at least 0."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda a, m: F.struct((a["n"] + m).alias("n"), F.concat(a["out"], F.array(F.greatest(a["n"] + m - 1, F.lit(0).cast("long")))).alias("out"))
-    return F.aggregate(mask, start, step, lambda a: a["out"])
+    zero = F.lit(0).cast("long")
+    return _running(mask, zero, lambda n, m: (n + m, F.greatest(n + m - 1, zero)), "bigint")
 
 
 def fit_left(ids: Column, length: int, pad: int) -> Column:
@@ -51,13 +74,7 @@ def fit_or_fail(ids: Column, length: int) -> Column:
 
 def _from_end(items: Column, step) -> Column:
     """A fold from the last element on; each step gives the carried value and what is put out, in the order of the items."""
-    start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out"))
-
-    def one(a, x):
-        carried, put = step(a["c"], x)
-        return F.struct(carried.alias("c"), F.concat(F.array(put), a["out"]).alias("out"))
-
-    return F.aggregate(F.reverse(items), start, one, lambda a: a["out"])
+    return F.reverse(_running(F.reverse(items), F.lit(0.0), step, "double"))
 
 
 def gae_advantages(rewards: Column, values: Column, gamma: float, lam: float) -> Column:

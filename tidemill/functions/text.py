@@ -169,6 +169,22 @@ def without_data_uri(text: Column) -> Column:
     return F.regexp_replace(text, r"^data:[^,]*;base64,", "")
 
 
+def from_base64(text: Column) -> Column:
+    """The bytes that a text with or without a data URI's head stands for; null if it is none."""
+    bare = without_data_uri(text)
+    return F.when(looks_base64(bare), F.unbase64(bare))
+
+
+def three_decimals(number: Column) -> Column:
+    """A number as text with three digits behind the point."""
+    return F.format_string("%.3f", number.cast("double"))
+
+
+def is_of_family(model: Column, name: str = "qwen") -> Column:
+    """Whether a model's name has the family's in it, in any case."""
+    return F.lower(model).contains(name)
+
+
 def is_scientific(text: Column) -> Column:
     return text.rlike(r"^[+-]?\d+(?:\.\d*)?[eE][+-]?\d+\z")
 

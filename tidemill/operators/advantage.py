@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions import arrays as A
+
 EPS = 1e-6
 WHITEN_EPS = 1e-8
 
 
 def _with_group(rows: DataFrame, group: str, **aggregates: Column) -> DataFrame:
-    """A group's aggregates beside its rows: summed up ahead of the shuffle, so that a large group is not gathered."""
-    sums = rows.groupBy(group).agg(*(c.alias(f"__{n}") for n, c in aggregates.items()))
-    return rows.join(sums, group)
+    """A group's aggregates beside its rows: summed up ahead of the shuffle, so that a large group is not gathered.
+
+    Rows without a group are a group of their own.
+    """
+    sums = rows.groupBy(F.col(group).alias("__g")).agg(*(c.alias(f"__{n}") for n, c in aggregates.items()))
+    return rows.join(sums, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def _needs_more_than_one(n: Column, value: Column) -> Column:
@@ -33,7 +38,8 @@ def rloo(rows: DataFrame, group: str = "uid", score: str = "score") -> DataFrame
 
 
 def remax(rows: DataFrame, baselines: DataFrame, key: str = "uid", score: str = "score", baseline: str = "baseline") -> DataFrame:
-    return rows.join(baselines.select(key, baseline), key).withColumn("advantage", F.col(score) - F.col(baseline))
+    one = baselines.select(F.col(key).alias("__g"), baseline)
+    return rows.join(one, F.col(key).eqNullSafe(F.col("__g"))).drop("__g").withColumn("advantage", F.col(score) - F.col(baseline))
 
 
 def over_tokens(advantage: Column, mask: Column) -> Column:
@@ -52,7 +58,9 @@ def masked_moments(rows: DataFrame, values: str, mask: str) -> DataFrame:
     center = rows.agg((F.sum(total) / (F.sum(count) + WHITEN_EPS)).alias("__center"))
     off = F.aggregate(F.zip_with(v, m, lambda x, w: (x - F.col("__center")) * (x - F.col("__center")) * w), F.lit(0.0), lambda a, x: a + x)
     spread = rows.join(F.broadcast(center)).agg(F.first("__center").alias("mean"), F.sum(count).alias("n"), (F.sum(off) / (F.sum(count) + WHITEN_EPS)).alias("biased"))
-    return spread.select("mean", (F.col("biased") * F.col("n") / (F.col("n") - 1)).alias("var"), "n")
+    # of one token alone the variance stays as it is
+    corrected = F.when(F.col("n") > 1, F.col("biased") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0.0))).otherwise(F.col("biased"))
+    return spread.select("mean", corrected.alias("var"), "n")
 
 
 def whiten(rows: DataFrame, values: str, mask: str, out: str = "whitened") -> DataFrame:
@@ -60,3 +68,16 @@ def whiten(rows: DataFrame, values: str, mask: str, out: str = "whitened") -> Da
     moments = masked_moments(rows, values, mask).select(F.col("mean").alias("__mean"), F.col("var").alias("__var"))
     scaled = F.zip_with(values, mask, lambda x, w: (x - F.col("__mean")) / F.sqrt(F.col("__var") + WHITEN_EPS) * w)
     return rows.join(F.broadcast(moments)).withColumn(out, scaled).drop("__mean", "__var")
+
+
+def gae(rows: DataFrame, rewards: str, values: str, mask: str, gamma: float, lam: float) -> DataFrame:
+    """Adds returns, the estimates with the values, and advantages, the estimates whitened over the batch's masked tokens."""
+    estimated = rows.withColumn("__a", A.gae_advantages(F.col(rewards), F.col(values), gamma, lam))
+    returned = estimated.withColumn("returns", F.zip_with("__a", values, lambda a, v: a + v))
+    return whiten(returned, "__a", mask, "advantages").drop("__a")
+
+
+def reinforce_plus_plus(rows: DataFrame, rewards: str, mask: str, gamma: float) -> DataFrame:
+    """Adds returns, the discounted rewards to go, and advantages, these whitened over the batch's masked tokens."""
+    returned = rows.withColumn("returns", A.discounted_returns(F.col(rewards), F.col(mask), gamma))
+    return whiten(returned, "returns", mask, "advantages")

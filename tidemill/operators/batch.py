@@ -120,6 +120,27 @@ def fold(df: DataFrame, width: int, index: str, *columns: str) -> DataFrame:
     return collate(df.withColumn("fold", F.floor(F.col(index) / width)), "fold", index, *columns)
 
 
+def group_ids(df: DataFrame, *key: str, name: str = "uid") -> DataFrame:
+    """An id for each prompt, the same in every run: of its key, and before rows are repeated."""
+    return df.withColumn(name, F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256))
+
+
+def unflatten_columns(df: DataFrame, separator: str = "/") -> DataFrame:
+    """Columns named by paths as nested fields, in the order that they come in."""
+    tree: dict = {}
+    for c in df.columns:
+        *path, last = c.split(separator)
+        at = tree
+        for name in path:
+            at = at.setdefault(name, {})
+        at[last] = c
+
+    def walk(name: str, node) -> Column:
+        return (F.col(f"`{node}`") if isinstance(node, str) else F.struct(*(walk(n, x) for n, x in node.items()))).alias(name)
+
+    return df.select(*(walk(n, x) for n, x in tree.items()))
+
+
 def flatten_columns(df: DataFrame, separator: str = "/") -> DataFrame:
     """Nested fields as columns named by their path."""
     from pyspark.sql import types as T

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
+from tidemill.operators.quota import ranked_within
 
 UNSCORED = 1.0
 
@@ -31,6 +32,22 @@ def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
     return out
 
 
+def without_errors(df: DataFrame, error: str = "generation_error") -> DataFrame:
+    """Rows whose generation did not fail; no sign of an error is none."""
+    return df.where(~F.coalesce(F.col(error), F.lit(False)))
+
+
+def short_enough(prompts: DataFrame, ids: str, most: int) -> DataFrame:
+    """Prompts whose ids are no more than allowed; without ids a prompt has length 0."""
+    return prompts.where(F.coalesce(F.size(ids), F.lit(0)) <= most)
+
+
+def with_files(df: DataFrame, path: str, listing: DataFrame) -> DataFrame:
+    """Rows whose file is in the listing, which has a ``path`` for each."""
+    there = listing.select(F.col("path").alias(path)).where("path is not null" if path == "path" else F.col(path).isNotNull()).distinct()
+    return df.join(there, path, "left_semi")
+
+
 def in_band(score: Column, low: float = 0.3, high: float = 0.8) -> Column:
     return score.between(low, high)
 
@@ -72,7 +89,11 @@ def histogram(df: DataFrame, value: str, bins: int = 11) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max"), F.min(value).alias("min"))
+    """One row: mean, median, max and min. The median comes from the ranks, so that no task holds all values."""
+    row = df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.count(value).alias("__n"))
+    ranked = ranked_within(df.where(F.col(value).isNotNull()).select(F.lit(1).alias("__one"), F.col(value).cast("double").alias("__v")), "__one", ["__v"], "__r")
+    middle = ranked.join(F.broadcast(row.select("__n"))).where(F.col("__r").isin(F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1))
+    return row.join(F.broadcast(middle.agg(F.avg("__v").alias("median")))).select("mean", "median", "max", "min")
 
 
 def distribution(df: DataFrame, category: str) -> DataFrame:

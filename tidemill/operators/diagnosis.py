@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.quota import ranked_within
+
 # Below each accuracy (not at it) a category gets this weight.
 WEIGHT_BANDS = ((0.70, 2.0), (0.75, 1.5), (0.85, 1.0), (0.90, 0.8))
 TOP_WEIGHT = 0.5
@@ -62,31 +64,34 @@ def with_weights(stats: DataFrame, table: DataFrame, category: str = "category",
 
 
 def error_descriptions(judged: DataFrame, by: Sequence[str], text: str, limit: int = ERROR_CHARS, most: int | None = None) -> DataFrame:
-    """The wrong rows' descriptions, cut and in order, as a list for each group; the first ones only on demand."""
-    wrong = judged.where("not is_correct").select(*by, F.substring(text, 1, limit).alias("d"))
-    if most is not None:
-        place = Window.partitionBy(*by).orderBy("d")
-        wrong = wrong.withColumn("k", F.row_number().over(place)).where(F.col("k") <= most)
-    return wrong.groupBy(*by).agg(F.sort_array(F.collect_list("d")).alias("descriptions"))
+    """(by, place, description): the wrong rows' descriptions, cut, a row for each in their order within the group; the first ones only on demand."""
+    wrong = judged.where("not is_correct").select(F.struct(*by).alias("__g"), F.substring(text, 1, limit).alias("description"))
+    ranked = ranked_within(wrong, "__g", ["description"], "place")
+    return (ranked if most is None else ranked.where(F.col("place") <= most)).select(*(F.col("__g")[c].alias(c) for c in by), "place", "description")
 
 
-def upsert_weaknesses(found: DataFrame, known: DataFrame | None = None, keep: int | None = None) -> DataFrame:
-    """(question_type, description, count, first_seen, examples): one more for each time found.
+def upsert_weaknesses(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(question_type, description, count, first_seen): one more for each time found.
 
     ``found`` has question_type, description, example_id and seen, their
     order; the first that is seen names the weakness. ``known`` is a table of
-    this shape. With ``keep`` only the first examples are held.
+    this shape.
     """
-    place = Window.partitionBy("question_type", "description").orderBy("seen", "example_id")
-    shown = found if keep is None else found.withColumn("__k", F.row_number().over(place))
-    example = F.col("example_id") if keep is None else F.when(F.col("__k") <= keep, F.col("example_id"))
-    new = shown.groupBy("question_type", "description").agg(F.count("*").alias("count"), F.min("seen").alias("first_seen"), F.sort_array(F.collect_list(F.when(example.isNotNull(), F.struct("seen", "example_id")))).alias("__e"))
-    new = new.select("question_type", "description", "count", "first_seen", F.transform("__e", lambda x: x["example_id"]).alias("examples"))
+    new = found.groupBy("question_type", "description").agg(F.count("*").alias("count"), F.min("seen").alias("first_seen"))
     if known is None:
         return new
-    both = known.withColumn("__o", F.lit(0)).unionByName(new.withColumn("__o", F.lit(1)))
-    merged = both.groupBy("question_type", "description").agg(F.sum("count").alias("count"), F.min_by("first_seen", "__o").alias("first_seen"), F.sort_array(F.collect_list(F.struct("__o", "examples"))).alias("__e"))
-    return merged.select("question_type", "description", "count", "first_seen", F.flatten(F.transform("__e", lambda x: x["examples"])).alias("examples"))
+    both = known.select(*new.columns).withColumn("__o", F.lit(0)).unionByName(new.withColumn("__o", F.lit(1)))
+    return both.groupBy("question_type", "description").agg(F.sum("count").alias("count"), F.min_by("first_seen", "__o").alias("first_seen"))
+
+
+def weakness_examples(found: DataFrame, keep: int | None = None) -> DataFrame:
+    """(question_type, description, place, example_id): a row for each example of a weakness in the order seen; the first ones only on demand.
+
+    Rows, as a list of all examples of a frequent weakness would not fit in one.
+    """
+    by = ["question_type", "description"]
+    ranked = ranked_within(found.select(F.struct(*by).alias("__g"), "seen", "example_id"), "__g", ["seen", "example_id"], "place")
+    return (ranked if keep is None else ranked.where(F.col("place") <= keep)).select(*(F.col("__g")[c].alias(c) for c in by), "place", "example_id")
 
 
 def top_by_count(table: DataFrame, group: Sequence[str], k: int, at_least: int = 1, ties: Sequence[str] = ("first_seen",)) -> DataFrame:

@@ -31,7 +31,14 @@ def plain_answer(text: str) -> str:
     return " ".join(text.split()).rstrip(".%").strip().lower()
 
 
+#: Longer texts, and larger exponents, are no numbers to a comparison, which ends soon whatever the answer.
+MAX_DIGITS = 1_000
+_EXPONENT = re.compile(r"[eE][+-]?0*(\d{4,})$")
+
+
 def number(text: str) -> Fraction | None:
+    if len(text) > MAX_DIGITS or _EXPONENT.search(text.strip()):
+        return None
     text = _THOUSANDS.sub("", text)
     m = re.fullmatch(r"\\?d?frac\{(-?\d+)\}\{(\d+)\}", text)
     try:
@@ -64,26 +71,30 @@ def majority(candidates: DataFrame, question: str, answer: str, order: list[str]
 def majority_of_classes(candidates: DataFrame, same: Callable[[str, str], bool] = same_answer, denominator: str = "valid") -> DataFrame:
     """(question_id, answer, votes, total, score): each candidate joins the first class whose first member it equals.
 
-    The order matters, as the relation need not be transitive. The group is
-    the candidates of one question, which the number of samples bounds.
+    The order matters, as the relation need not be transitive. Equal texts are
+    counted ahead of the shuffle; a task gets the different answers to one
+    question, in the order of their first candidate.
     """
 
     def vote(group: pd.DataFrame) -> pd.DataFrame:
         heads: list[list] = []
-        rows = group.sort_values("candidate_index", kind="stable")
-        answers = [t for t in rows["text"] if isinstance(t, str) and t]
-        for t in answers:
+        for text, times in group.sort_values("first", kind="stable")[["text", "times"]].itertuples(index=False):
             for head in heads:
-                if same(head[0], t):
-                    head[1] += 1
+                if same(head[0], text):
+                    head[1] += times
                     break
             else:
-                heads.append([t, 1])
-        total = len(answers) if denominator == "valid" else len(rows)
-        best = max(heads, key=lambda h: h[1]) if heads else [None, 0]
-        return pd.DataFrame([(rows["question_id"].iloc[0], best[0], best[1], total, best[1] / total if total else 0.0)], columns=["question_id", "answer", "votes", "total", "score"])
-
-    return candidates.select("question_id", "candidate_index", "text").groupBy("question_id").applyInPandas(vote, "question_id string, answer string, votes long, total long, score double")
+                heads.append([text, times])
+        best = max(heads, key=lambda h: h[1])
+        return pd.DataFrame([(group["question_id"].iloc[0], best[0], int(best[1]))], columns=["question_id", "answer", "votes"])
+
+    filled = F.col("text").isNotNull() & (F.col("text") != "")
+    rows = candidates.select("question_id", "candidate_index", "text")
+    counted = rows.where(filled).groupBy("question_id", "text").agg(F.min("candidate_index").alias("first"), F.count("*").alias("times"))
+    best = counted.groupBy("question_id").applyInPandas(vote, "question_id string, answer string, votes long").withColumnRenamed("question_id", "__q")
+    totals = rows.groupBy("question_id").agg((F.count_if(filled) if denominator == "valid" else F.count("*")).alias("total"))
+    joined = totals.join(best, F.col("question_id").eqNullSafe(F.col("__q")), "left")
+    return joined.select("question_id", "answer", F.coalesce("votes", F.lit(0)).alias("votes"), "total", F.coalesce(F.try_divide("votes", "total"), F.lit(0.0)).alias("score"))
 
 
 def self_consistency(candidates: DataFrame, question: str, answer: str, golden: Column) -> DataFrame:

@@ -35,7 +35,7 @@ def batch_metrics(rows: DataFrame, scores: str, advantages: str, returns: str, m
     if max_length is not None:
         out.append(F.avg(F.when(F.col("length") >= max_length, 1.0).otherwise(0.0)).alias("length_clip_ratio"))
     if values:
-        spread = lambda s, q: (F.sum(q) - F.sum(s) * F.sum(s) / tokens) / (tokens - 1)
+        spread = lambda s, q: (F.sum(q) - F.sum(s) * F.sum(s) / tokens) / F.nullif(tokens - 1, F.lit(0.0))
         out.append((1 - spread("d1", "d2") / (spread("return_sum", "r2") + 1e-5)).alias("explained_variance"))
     return prepared.agg(*out)
 
@@ -81,3 +81,9 @@ def run_statistics(log: DataFrame) -> DataFrame:
     """One row over a log: rows, successes and their percentage."""
     ok = F.count_if(F.col("_meta.success"))
     return log.agg(F.count("*").alias("n"), ok.alias("succeeded"), (F.count("*") - ok).alias("failed"), F.try_divide(ok * 100.0, F.count("*")).alias("percent"))
+
+
+def pace(statistics: DataFrame, elapsed: float) -> DataFrame:
+    """Adds seconds for a success and the seconds that what has failed would still take at that pace; 0 without a success."""
+    each = F.coalesce(F.try_divide(F.lit(float(elapsed)), "succeeded"), F.lit(0.0))
+    return statistics.withColumn("seconds_each", each).withColumn("seconds_left", each * F.col("failed"))

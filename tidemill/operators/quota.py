@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FLEXIBLE = "__flexible__"
 
@@ -33,8 +36,7 @@ def admit(arrivals: DataFrame, quotas: DataFrame, order: list[str], category: st
     """Adds arrival_rank and admitted: within its quota, or, for a category without one, within the flexible pool.
 
     Ranks are worked out in two steps, so that a category with a large part
-    of the rows is not sorted in one task: the rows of a category compete in
-    ranges of the first order column.
+    of the rows is not sorted in one task.
     """
     typed = quotas.where(F.col(category) != FLEXIBLE).select(category, "quota")
     pool = quotas.where(F.col(category) == FLEXIBLE).select(F.col("quota").alias("__pool"))
@@ -45,23 +47,48 @@ def admit(arrivals: DataFrame, quotas: DataFrame, order: list[str], category: st
     return ranked.withColumn("admitted", F.col("arrival_rank") <= limit).drop("quota", "__pool", "__line")
 
 
-def ranked_within(rows: DataFrame, group: str, order: list[str], name: str, cuts: int = 16) -> DataFrame:
+#: Rows in a range, about, and rows looked at for each border between ranges.
+RANGE_ROWS, LOOKED_AT = 200_000, 20
+
+
+def _range_of(rows: DataFrame, order: list[str], n: int, total: int) -> DataFrame | None:
+    """Adds ``__part``, the number of the range, of ``n``, that a row's place in the order lies in; None without a border.
+
+    Borders over all order columns come from a sample, some twenty rows for
+    each, and are constants from then on. They are searched in two steps.
+    """
+    row = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(order)))
+    sample = rows.select(row.alias("r")).sample(min(1.0, LOOKED_AT * n / total), seed=42)
+    looked = sample.agg(F.sort_array(F.collect_list("r")).alias("r")).first().r
+    borders = [looked[len(looked) * k // n] for k in range(1, n)] if looked else []
+    if not borders:
+        return None
+    kind = T.StructType([T.StructField("b", T.ArrayType(T.StructType([T.StructField(f"c{k}", rows.schema[c].dataType) for k, c in enumerate(order)])))])
+    held = F.broadcast(rows.sparkSession.createDataFrame([(borders,)], kind))
+    wide = math.isqrt(len(borders) - 1) + 1
+    below = lambda some: F.size(F.filter(some, lambda b: b < row))
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(len(borders)), F.lit(wide)), lambda at: F.get(F.col("b"), at - 1))
+    with_block = rows.join(held).withColumn("__part", below(blocks))
+    fine = below(F.slice("b", F.greatest((F.col("__part") - 1) * wide + 1, F.lit(1)), F.lit(wide)))
+    return with_block.withColumn("__part", F.when(F.col("__part") == 0, 0).otherwise((F.col("__part") - 1) * wide + fine)).drop("b")
+
+
+def ranked_within(rows: DataFrame, group: str, order: list[str], name: str, range_rows: int | None = None) -> DataFrame:
     """1, 2, ... within each group by the order, without gathering a group: counts of its earlier ranges plus the place in its own.
 
-    The ranges are cut at quantiles of the first order column, a fixed number
-    of values whatever the input.
+    There are as many ranges, over all rows, as their number asks for. Rows
+    without a group are one; rows equal in all order columns share a range.
     """
-    first = F.col(order[0])
-    kind = dict(rows.dtypes)[order[0]]
-    number = F.unix_micros(first.cast("timestamp")) if kind.startswith("timestamp") else first.cast("double")
-    bounds = rows.select(number.cast("double").alias("x")).approxQuantile("x", [k / cuts for k in range(1, cuts)], 0.02)
-    part = F.coalesce(sum((F.when(number.cast("double") > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0)), F.lit(0))
-    parted = rows.withColumn("__part", part)
-    sizes = parted.groupBy(group, "__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    joined = parted.join(before.withColumnRenamed(group, "__g"), (F.col(group) == F.col("__g")) & (parted["__part"] == before["__part"])).drop("__g").drop(before["__part"])
+    total, range_rows = rows.count(), range_rows or RANGE_ROWS
+    parted = _range_of(rows, order, -(-total // range_rows), total) if total > range_rows else None
+    if parted is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    sizes = parted.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__g", "__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    joined = parted.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
     place = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
-    return joined.withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before")
+    return joined.withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before", "__g", "__p")
 
 
 def is_complete(progress_rows: DataFrame, flexible_quota: int, flexible_used: int) -> bool:
@@ -80,12 +107,13 @@ def variants(gap: DataFrame, sources: DataFrame, category: str = "category", sou
     With n sources each gets gap div n, the first gap mod n one more; without
     sources the gap is filled by rows without one.
     """
-    joined = gap.join(sources.select(category, source), category, "left")
-    n = F.count(source).over(Window.partitionBy(category))
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(source))
-    spread = joined.withColumn("__n", n).withColumn("__r", rank)
-    share = F.when(F.col("__n") == 0, F.col("gap")).otherwise(F.floor(F.col("gap") / F.greatest("__n", F.lit(1))) + F.when(F.col("__r") <= F.col("gap") % F.greatest("__n", F.lit(1)), 1).otherwise(0)).cast("long")
-    counted = spread.withColumn("total_variants", share).where("total_variants > 0")
+    known = sources.select(F.col(category).alias("__c"), source).where(F.col(source).isNotNull()).join(gap.select(F.col(category).alias("__c")), "__c", "left_semi")
+    counts = known.groupBy("__c").agg(F.count("*").alias("__n"))
+    joined = gap.join(counts, F.col(category) == F.col("__c"), "left").drop("__c").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    none = joined.where("__n = 0").select(category, F.lit(None).cast(sources.schema[source].dataType).alias(source), F.col("gap").alias("total_variants"))
+    ranked = ranked_within(known, "__c", [source], "__r").join(joined.where("__n > 0"), F.col("__c") == F.col(category))
+    share = (F.floor(F.col("gap") / F.nullif("__n", F.lit(0))) + F.when(F.col("__r") <= F.col("gap") % F.nullif("__n", F.lit(0)), 1).otherwise(0)).cast("long")
+    counted = none.unionByName(ranked.select(category, source, share.alias("total_variants"))).where("total_variants > 0")
     return counted.select(category, source, F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_variants") - 1)).alias("variant_index"), "total_variants")
 
 
@@ -101,3 +129,16 @@ def changed_quotas(old: DataFrame, new: DataFrame, category: str = "category") -
     """Categories whose quota differs, with null where there was or is none."""
     joined = old.select(category, F.col("quota").alias("old_quota")).join(new.select(category, F.col("quota").alias("new_quota")), category, "full_outer")
     return joined.where(~F.col("old_quota").eqNullSafe(F.col("new_quota")))
+
+
+def snapshot(quotas: DataFrame, counts: DataFrame, category: str = "category") -> DataFrame:
+    """(category, quota, count): the state to write down, with the flexible pool's row and its use."""
+    joined = quotas.select(category, "quota").join(counts.select(category, "count"), category, "full_outer")
+    return joined.select(category, "quota", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def restore(state: DataFrame, quotas: DataFrame, category: str = "category") -> tuple[DataFrame, DataFrame]:
+    """The state under new quotas, with the counts of the old one, and the changes to warn of."""
+    counts = state.select(category, "count")
+    typed = lambda q: q.where(F.col("quota").isNotNull() & (F.col(category) != FLEXIBLE))
+    return snapshot(quotas, counts, category), changed_quotas(typed(state), typed(quotas), category)

@@ -60,6 +60,17 @@ def until_successes(rows: DataFrame, order: list[str], success: str, n: int) ->
     return rows.join(F.broadcast(last.limit(1)), how="left").where(F.col("__last").isNull() | (F.struct(*order) <= F.col("__last"))).drop("__last")
 
 
+def attempts(tried: DataFrame, valid: str, key: str = "sample_id", attempt: str = "attempt", max_retries: int = 2) -> DataFrame:
+    """For each sample the first of its valid attempts, of which ``max_retries`` may follow the first one; adds ``tries``, those up to it.
+
+    Samples without a valid attempt have no row; of rows of one attempt the least counts.
+    """
+    rest = [c for c in tried.columns if c not in (key, attempt)]
+    good = tried.where((F.col(attempt) <= max_retries) & F.col(valid))
+    first = good.groupBy(key).agg(F.min(F.struct(attempt, *rest)).alias("__b")).select(key, "__b.*")
+    return first.select(*tried.columns, (F.col(attempt) + 1).alias("tries"))
+
+
 def mini_batches(rows: DataFrame, key: str, size: int, epochs: int = 1, seed: int = 42) -> DataFrame:
     """(epoch, batch, idx) for each row, in a seeded order of its own for every epoch."""
     parts = None

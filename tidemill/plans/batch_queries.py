@@ -302,10 +302,11 @@ def _(t):
     return t.part.select("p_partkey", X.question_triple(reply).alias("q"), X.questioner_format(reply).alias("form")).select("p_partkey", "q.*", "form")
 
 
-@query("q73_section_timing", "with s as (select source as name, count(*)::double as seconds from documents group by 1), k as (select source as name, sum(n_chars) as tokens from documents where lang = 'en' and source < 'src5' group by 1) select s.name, seconds, seconds * 1000 / tokens as ms_per_token from s left join k on s.name = k.name")
+@query("q73_section_timing", "with s as (select source as name, count(*)::double as seconds from documents group by 1), k as (select source as name, sum(n_chars) as tokens from documents group by 1 having sum(n_chars) % 3 > 0) select s.name, seconds, seconds * 1000 / tokens as ms_per_token from s left join k on s.name = k.name")
 def _(t):
     seconds = t.documents.groupBy(F.col("source").alias("name")).agg(F.count("*").cast("double").alias("seconds"))
-    tokens = t.documents.where("lang = 'en' and source < 'src5'").groupBy(F.col("source").alias("name")).agg(F.sum("n_chars").alias("tokens"))
+    # the tokens of some sections are not known
+    tokens = t.documents.groupBy(F.col("source").alias("name")).agg(F.sum("n_chars").alias("tokens")).where("tokens % 3 > 0")
     return metrics.timing(seconds, tokens)
 
 
@@ -320,7 +321,7 @@ def _(t):
     return metrics.run_statistics(t.events.select(F.struct((F.col("event_type") != "error").alias("success")).alias("_meta")))
 
 
-@query("q76_fuzzy_vote")
+@query("q76_fuzzy_vote", "with c as (select user_id, event_id, length(event_type) as class, case when event_id % 2 = 0 then '$' || length(event_type)::varchar || '.0$' else length(event_type)::varchar end as text from events), k as (select user_id, class, count(*) as votes, min(event_id) as first, arg_min(text, event_id) as answer from c group by 1, 2), r as (select *, row_number() over (partition by user_id order by votes desc, first) as place, sum(votes) over (partition by user_id) as total from k) select user_id::varchar as question_id, answer, votes::bigint as votes, total::bigint as total, votes::double / total as score from r where place = 1")
 def _(t):
     # each user's events are the candidates for one question, alternating spellings of the same number
     answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("$"), F.length("event_type").cast("string"), F.lit(".0$"))).otherwise(F.length("event_type").cast("string"))

@@ -61,10 +61,10 @@ def _(t):
     return diagnosis.breakdown(judged(t), "category", "kind")
 
 
-@query("q04_error_descriptions", f"with {_JUDGED} select category, kind, count(*)::bigint as n, md5(string_agg(substr(text, 1, 200), '|' order by substr(text, 1, 200))) as digest from judged where not ok group by category, kind")
+@query("q04_error_descriptions", f"with {_JUDGED} select category, kind, row_number() over (partition by category, kind order by substr(text, 1, 200))::bigint as place, md5(substr(text, 1, 200)) as digest from judged where not ok")
 def _(t):
-    lists = diagnosis.error_descriptions(judged(t), ["category", "kind"], "text")
-    return lists.select("category", "kind", F.size("descriptions").cast("long").alias("n"), F.md5(F.array_join("descriptions", "|")).alias("digest"))
+    rows = diagnosis.error_descriptions(judged(t), ["category", "kind"], "text")
+    return rows.select("category", "kind", "place", F.md5("description").alias("digest"))
 
 
 @query("q05_overall_summary", f"with {_JUDGED} select count(*)::bigint as total, sum(ok::int)::bigint as correct, sum(ok::int)::double / count(*) as accuracy from judged")
@@ -72,17 +72,27 @@ def _(t):
     return diagnosis.summary(judged(t))
 
 
+def weaknesses_found(t: Tables) -> DataFrame:
+    return t.events.select(F.col("event_type").alias("question_type"), F.get_json_object("props", "$.k").alias("description"), F.col("event_id").alias("example_id"), F.col("event_id").alias("seen"))
+
+
 def weaknesses(t: Tables) -> DataFrame:
-    found = t.events.select(F.col("event_type").alias("question_type"), F.get_json_object("props", "$.k").alias("description"), F.col("event_id").alias("example_id"), F.col("event_id").alias("seen"))
-    return diagnosis.upsert_weaknesses(found)
+    return diagnosis.upsert_weaknesses(weaknesses_found(t))
+
 
+_WEAK = "weak as (select event_type as question_type, json_extract_string(props, '$.k') as description, count(*)::bigint as \"count\", min(event_id) as first_seen from events group by 1, 2)"
 
-_WEAK = "weak as (select event_type as question_type, json_extract_string(props, '$.k') as description, count(*)::bigint as \"count\", min(event_id) as first_seen, string_agg(event_id::varchar, ',' order by event_id) as ids from events group by 1, 2)"
+
+@query("q06_weakness_upsert", "with f as (select event_type as question_type, json_extract_string(props, '$.k') as description, event_id from events), o as (select question_type, description, count(*) as n, min(event_id) as first from f where event_id % 5 = 0 group by 1, 2), n as (select question_type, description, count(*) as n, min(event_id) as first from f where event_id % 5 <> 0 group by 1, 2) select question_type, description, (coalesce(o.n, 0) + coalesce(n.n, 0))::bigint as \"count\", coalesce(o.first, n.first) as first_seen from o full outer join n using (question_type, description)")
+def _(t):
+    # the fifth part of what is found makes the table that the rest is put into
+    found = weaknesses_found(t)
+    return diagnosis.upsert_weaknesses(found.where("seen % 5 <> 0"), diagnosis.upsert_weaknesses(found.where("seen % 5 = 0")))
 
 
-@query("q06_weakness_upsert", f"with {_WEAK} select question_type, description, \"count\", first_seen, md5(ids) as examples from weak")
+@query("q81_weakness_examples", "select event_type as question_type, json_extract_string(props, '$.k') as description, row_number() over (partition by 1, 2 order by event_id)::bigint as place, event_id as example_id from events".replace("partition by 1, 2", "partition by event_type, json_extract_string(props, '$.k')"))
 def _(t):
-    return weaknesses(t).withColumn("examples", F.md5(F.array_join("examples", ",")))
+    return diagnosis.weakness_examples(weaknesses_found(t))
 
 
 @query("q07_top_weaknesses", f"with {_WEAK}, ranked as (select *, row_number() over (partition by question_type order by \"count\" desc, first_seen) as rank from weak where \"count\" >= 2) select question_type, description, \"count\", rank::int as rank from ranked where rank <= 5")
@@ -130,10 +140,9 @@ def _(t):
     return gap_rows(t)
 
 
-@query("q13_variant_plan", f"with {_GAPS}, joined as (select g.category, gap, doc_id as source_id, count(doc_id) over (partition by g.category) as n, row_number() over (partition by g.category order by doc_id) as r from gaps g left join (select source, doc_id from documents where doc_id % 7 = 0) d on g.category = d.source), shared as (select category, source_id, (case when n = 0 then gap else gap // greatest(n, 1) + (case when r <= gap % greatest(n, 1) then 1 else 0 end) end)::bigint as total_variants from joined) select category, source_id, unnest(range(total_variants))::bigint as variant_index, total_variants from shared where total_variants > 0")
+@query("q13_variant_plan", f"with {_GAPS}, joined as (select g.category, gap, doc_id as source_id, count(doc_id) over (partition by g.category) as n, row_number() over (partition by g.category order by doc_id) as r from gaps g left join (select source, doc_id from documents) d on g.category = d.source), shared as (select category, source_id, (case when n = 0 then gap else gap // greatest(n, 1) + (case when r <= gap % greatest(n, 1) then 1 else 0 end) end)::bigint as total_variants from joined) select category, source_id, unnest(range(total_variants))::bigint as variant_index, total_variants from shared where total_variants > 0")
 def _(t):
-    # every seventh document is a source here; the operator takes any table of sources
-    sources = t.documents.where("doc_id % 7 = 0").select(F.col("source").alias("category"), F.col("doc_id").alias("source_id"))
+    sources = t.documents.select(F.col("source").alias("category"), F.col("doc_id").alias("source_id"))
     return quota.variants(gap_rows(t), sources)
 
 
@@ -161,9 +170,12 @@ def _(t):
     return t.pages.select("page_id", X.tag_content(F.col("html"), "title").alias("title"), X.tag_content(F.col("html"), "h1").alias("heading"))
 
 
-@query("q18_format_check", f"select doc_id, case when doc_id % 3 = 0 then 0.0 else 1.0 end::double as form from documents")
+_REPLY = "'<think>' || text || '</think>' || case when doc_id % 3 = 0 then ' so: ' else ' ' || chr(10) end || chr(92) || 'boxed{' || n_chars::varchar || '}'"
+
+
+@query("q18_format_check", f"select doc_id, regexp_matches({_REPLY}, '(?s)\\A<think>.*</think>[ \\t\\r\\n]*\\\\boxed\\{{.*\\}}[ \\t\\r\\n]*\\z')::int::double as form from documents")
 def _(t):
-    reply = F.concat(F.lit("<think>"), F.substring("text", 1, 40), F.lit("</think>"), F.when(F.col("doc_id") % 3 == 0, " so: ").otherwise(" \n"), F.lit("\\boxed{"), F.col("n_chars").cast("string"), F.lit("}"))
+    reply = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>"), F.when(F.col("doc_id") % 3 == 0, " so: ").otherwise(" \n"), F.lit("\\boxed{"), F.col("n_chars").cast("string"), F.lit("}"))
     return t.documents.select("doc_id", X.solver_format(reply).alias("form"))
 
 
@@ -205,11 +217,13 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.md5(X.fill_template("Role: {role}\n{content} Answer in a box.", role=F.col("role"), content=F.col("text"))).alias("prompt"))
 
 
-@query("q26_image_tag_norm", "select conv_id, turn, md5(case turn % 3 when 0 then text || '<image>' when 1 then text || '<image>' else '<image 1>' || text || '<image 2>' end) as prompt from conversations where not contains(text, '<image')")
+_RAW = "case turn % 3 when 0 then text when 1 then '<image 1>' || text else '<image 1>' || text || '<image 2>' end"
+
+
+@query("q26_image_tag_norm", f"with r as (select conv_id, turn, {_RAW} as raw from conversations), p as (select *, regexp_replace(raw, '<image[ \\t\\r\\n]*[0-9]+>', '<image>', 'g') as plain from r), n as (select *, (length(plain) - length(replace(plain, '<image>', ''))) // 7 as n from p) select conv_id, turn, md5(case n when 0 then plain || '<image>' when 1 then replace(plain, '<image>', '') || '<image>' else raw end) as prompt from n")
 def _(t):
-    rows = t.conversations.where(~F.col("text").contains("<image"))
     raw = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("<image 1>"), F.col("text"))).otherwise(F.concat(F.lit("<image 1>"), F.col("text"), F.lit("<image 2>")))
-    return rows.select("conv_id", "turn", F.md5(X.one_image_tag(raw)).alias("prompt"))
+    return t.conversations.select("conv_id", "turn", F.md5(X.one_image_tag(raw)).alias("prompt"))
 
 
 def scored(t: Tables) -> DataFrame:

@@ -57,13 +57,14 @@ class Patient:
 
 def ask(rows: DataFrame, prompt: str, provider: Provider, out: str = "reply", tasks: int | None = None) -> DataFrame:
     """A reply for every row. Each different prompt is asked once; ``tasks`` limits how many call at a time."""
-    asked = rows.select(F.col(prompt).alias("p")).where("p is not null").distinct()
+    asked = rows.select(F.col(prompt).alias("__prompt")).where("__prompt is not null").distinct()
     if tasks is not None:
-        asked = asked.repartition(tasks, "p")
+        asked = asked.repartition(tasks, "__prompt")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield part.assign(r=provider.call(part["p"].tolist()))
+            yield part.assign(__reply=provider.call(part["__prompt"].tolist()))
 
-    replies = asked.mapInPandas(run, "p string, r string")
-    return rows.join(replies, rows[prompt] == replies["p"], "left").withColumnRenamed("r", out).drop("p")
+    replies = asked.mapInPandas(run, "__prompt string, __reply string")
+    joined = rows.join(replies, rows[prompt] == F.col("__prompt"), "left")
+    return joined.select(*(rows[c] for c in rows.columns if c != out), F.col("__reply").alias(out))
