@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemill.functions import arrays as A
 from tidemill.functions import text as X
 from tidemill.operators import advantage, balance, batch, curation, diagnosis, grading, quota, rewards, similarity
-from tidemill.plans.iteration import Settings, iterate
-from tidemill.plans.providers import Canned, Patient, ask
+from tidemill.plans.iteration import Settings, iterate, loop
+from tidemill.plans.providers import Canned, Checked, Paced, Patient, ask
 
 
 def one(spark, column, **values):
@@ -276,3 +276,37 @@ def test_restored_state_keeps_counts(spark):
     state, changes = quota.restore(quota.snapshot(old, counts), new)
     assert {tuple(r) for r in state.collect()} == {("a", 6, 4), ("b", 2, 0), (quota.FLEXIBLE, 4, 1)}
     assert [tuple(r) for r in changes.collect()] == [("a", 5, 6)]
+
+
+def test_paced_and_checked_providers():
+    now, waits = [0.0], []
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    paced = Paced(Canned(("ok",)), interval=2.0, tasks=3, sleep=sleep, clock=lambda: now[0])
+    assert paced.call(["a", "b", "c"]) == ["ok"] * 3 and waits == [6.0, 6.0, 6.0] and paced.call([]) == []
+    said = iter(["bad", "good", "good"])
+
+    class Wavering:
+        def call(self, prompts):
+            return [next(said) for _ in prompts]
+
+    assert Checked(Wavering(), lambda r: r == "good", retries=1).call(["x", "y"]) == ["good", "good"]
+    assert Checked(Canned(("no",)), lambda r: r == "good", retries=1).call(["x"]) == [None]
+
+
+def test_loop_goes_on_where_it_stopped(spark, folder, tmp_path):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    judged = labels.join(docs, "doc_id").select(F.col("source").alias("category"), (F.col("quality") == 1).alias("is_correct"))
+    sources = docs.select(F.col("source").alias("category"), F.col("doc_id").alias("source_id"), F.substring("text", 1, 30).alias("question"))
+    asked = []
+
+    def judge(model, k):
+        asked.append((model, k))
+        return judged
+
+    run = lambda n: loop("v0", judge, lambda m, made, k: f"v{k}:{made.count()}", sources, Canned(), str(tmp_path), n, Settings(generated=40, target=20, candidates=3))
+    first = run(1)
+    assert first == "v1:20" and run(2) == "v2:20" and asked == [("v0", 1), ("v1:20", 2)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill import schemas
 from tidemill.operators.quota import FLEXIBLE
 from tidemill.sources import readers, sinks
-from tidemill.streaming.quota_stream import admit_stream, write_outcomes
+from tidemill.streaming.quota_stream import admit_stream, counts_so_far, run_until_full, write_outcomes
 
 
 def test_json_sources(spark, tmp_path):
@@ -31,6 +31,10 @@ def test_parquet_sources(spark, tmp_path):
         spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/d/train-{k}")
     rows = readers.parquet_in_name_order(spark, f"{tmp_path}/d/train-0", 4)
     assert [r.id for r in rows.collect()] == [0, 1, 2, 3]
+    spark.range(100, 130).repartitionByRange(3, "id").write.parquet(f"{tmp_path}/many")
+    for n in (0, 1, 10, 11, 25, 99):
+        got = [(r.id, r.file_name) for r in readers.parquet_in_name_order(spark, f"{tmp_path}/many", n).collect()]
+        assert [i for i, _ in got] == list(range(100, min(130, 100 + n)))
     assert readers.one_file(spark, f"{tmp_path}/d/train-1").count() == 10
     assert readers.dataset(spark, f"{tmp_path}/d@train-2").count() == 10
     assert readers.seeded_sample(spark.range(100), "id", 7).collect() == readers.seeded_sample(spark.range(100).repartition(5), "id", 7).collect()
@@ -52,6 +56,12 @@ def test_log_and_checkpoints(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/m").count() == 1
     lines = spark.createDataFrame([(2, "b"), (1, "a")], "line_no long, line string")
     assert sinks.report_text(lines) == "a\nb"
+    sinks.write_report(lines, f"{tmp_path}/report")
+    assert spark.read.text(f"{tmp_path}/report", wholetext=True).first().value == "a\nb\n"
+    sinks.finalize_log(log, f"{tmp_path}/one", all_rows=True, one_file=True)
+    assert len([f for f in (tmp_path / "one").iterdir() if f.name.startswith("part-")]) == 1
+    sinks.to_sinks(metrics, lambda m: sinks.append_metrics(m, f"{tmp_path}/m1"), lambda m: sinks.write_json(m, f"{tmp_path}/m2"))
+    assert spark.read.parquet(f"{tmp_path}/m1").count() == spark.read.json(f"{tmp_path}/m2").count() == 1
 
 
 def test_stream_admits_as_one_batch_would_and_resumes(spark, tmp_path):
@@ -73,3 +83,9 @@ def test_stream_admits_as_one_batch_would_and_resumes(spark, tmp_path):
     assert sorted(r.arrival for r in kept.where("category = 'a'").collect()) == list(range(0, 14, 2))
     rejected = spark.read.json(f"{tmp_path}/no")
     assert rejected.count() == 30 - 11 and rejected.where("error is null").count() == 0
+    assert {r.category: r["count"] for r in counts_so_far(spark, f"{tmp_path}/checkpoint").collect()} == quotas
+    # full quotas end the stream before all is read
+    for k in (3, 4, 5, 6):
+        feed(k)
+    assert run_until_full(admit_stream(source, quotas), f"{tmp_path}/ok", f"{tmp_path}/no", f"{tmp_path}/checkpoint", pause=0.2)
+    assert spark.read.json(f"{tmp_path}/ok").count() == 11

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
@@ -12,6 +15,9 @@ from tidemill.operators import curation, diagnosis, grading, quota
 from tidemill.plans.providers import Provider, ask
 
 
+Model = TypeVar("Model")
+
+
 @dataclass(frozen=True)
 class Settings:
     generated: int = 1000
@@ -52,3 +58,29 @@ def curate(scored: DataFrame, settings: Settings) -> DataFrame:
 def iterate(judged: DataFrame, sources: DataFrame, provider: Provider, settings: Settings | None = None) -> DataFrame:
     settings = settings or Settings()
     return curate(score(generate(sources, diagnose(judged), provider, settings), provider, settings), settings)
+
+
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of this folder; None if it was not written to the end."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def loop(model: Model, judge: Callable[[Model, int], DataFrame], train: Callable[[Model, DataFrame, int], Model], sources: DataFrame, provider: Provider, folder: str, iterations: int = 3, settings: Settings | None = None) -> Model:
+    """Judge, generate, curate and train, again and again; each round's training set lies in a folder of its own.
+
+    A round whose set is there is not generated again, so that a loop that
+    was broken off goes on where it stopped. An empty set ends the loop.
+    """
+    for k in range(1, iterations + 1):
+        path = f"{folder}/iteration={k}"
+        made = written(sources.sparkSession, path)
+        if made is None:
+            iterate(judge(model, k), sources, provider, settings).write.mode("overwrite").parquet(path)
+            made = sources.sparkSession.read.parquet(path)
+        if made.limit(1).count() == 0:
+            break
+        model = train(model, made, k)
+    return model

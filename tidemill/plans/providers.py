@@ -55,6 +55,48 @@ class Patient:
         return []
 
 
+@dataclass
+class Paced:
+    """At most one call in ``interval`` seconds over all tasks: each of ``tasks`` waits for its share. For ``ask`` with as many tasks."""
+
+    provider: Provider
+    interval: float
+    tasks: int = 1
+    sleep: Callable[[float], None] = time.sleep
+    clock: Callable[[], float] = time.monotonic
+
+    def call(self, prompts: list[str]) -> list[str]:
+        out, free = [], self.clock()
+        for p in prompts:
+            if (wait := free - self.clock()) > 0:
+                self.sleep(wait)
+            free = self.clock() + self.interval * self.tasks
+            out += self.provider.call([p])
+        if prompts:  # the next batch of the task keeps its distance, too
+            self.sleep(max(0.0, free - self.clock()))
+        return out
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Asks again, up to ``retries`` times, for replies that are not valid; what is not valid then is None."""
+
+    provider: Provider
+    valid: Callable[[str], bool]
+    retries: int = 2
+
+    def call(self, prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(prompts)
+        open_ = list(range(len(prompts)))
+        for _ in range(self.retries + 1):
+            for k, reply in zip(open_, self.provider.call([prompts[k] for k in open_]), strict=True):
+                out[k] = reply if self.valid(reply) else None
+            open_ = [k for k in open_ if out[k] is None]
+            if not open_:
+                break
+        return out
+
+
 def ask(rows: DataFrame, prompt: str, provider: Provider, out: str = "reply", tasks: int | None = None) -> DataFrame:
     """A reply for every row. Each different prompt is asked once; ``tasks`` limits how many call at a time."""
     asked = rows.select(F.col(prompt).alias("__prompt")).where("__prompt is not null").distinct()

@@ -6,11 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a file whose text may stand as an argument.
+MAX_TEXT = 1 << 20
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A file that is one JSON array of objects."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -35,9 +39,20 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parquet_in_name_order(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """A folder's rows with ``file_name`` and ``file_row``, which order them as the files by name do; the first rows only on demand."""
-    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("file_row"))
-    return rows if first is None else rows.orderBy("file_name", "file_row").limit(first)
+    """A folder's rows with ``file_name`` and ``file_row``, which order them as the files by name do; the first rows only on demand.
+
+    For these no more files are read than hold them.
+    """
+    with_place = lambda df: df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("file_row"))
+    whole = spark.read.parquet(path)
+    if first is None:
+        return with_place(whole)
+    files = whole.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path")).groupBy("name", "path").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("name", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    wanted = [r.path for r in files.select("path", before.alias("before")).where(F.col("before") < first).collect()]
+    if not wanted:
+        return with_place(whole).limit(0)
+    return with_place(spark.read.schema(whole.schema).parquet(*wanted)).orderBy("file_name", "file_row").limit(first)
 
 
 def one_file(spark: SparkSession, path: str, seed: int = 42) -> DataFrame:
@@ -92,7 +107,14 @@ def weights_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 def text_or_file(spark: SparkSession, value: str) -> str:
     """The content of the file if there is one by that name, else the text itself."""
     try:
+        size = spark.read.format("binaryFile").load(value).select("length").first()
+        if size is None:
+            return value
+        if size.length > MAX_TEXT:
+            raise ValueError(f"{value} has {size.length} bytes, too many for a prompt")
         row = spark.read.text(value, wholetext=True).first()
+    except ValueError:
+        raise
     except Exception:  # noqa: BLE001 - any text may be no valid path
         return value
     return row.value if row else value

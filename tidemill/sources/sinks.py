@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,10 @@ def append_log(df: DataFrame, path: str, success: bool, error: str | None = None
     df.withColumn("_meta", meta).drop("sample_index").write.mode("append").json(path)
 
 
-def finalize_log(log: DataFrame, path: str, all_rows: bool = False) -> None:
-    """The successful rows of a log as one set, without the log's own column."""
-    (log if all_rows else log.where("_meta.success")).drop("_meta").write.mode("overwrite").json(path)
+def finalize_log(log: DataFrame, path: str, all_rows: bool = False, one_file: bool = False) -> None:
+    """The successful rows of a log as one set, without the log's own column; a single file only if one is asked for."""
+    rows = (log if all_rows else log.where("_meta.success")).drop("_meta")
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").json(path)
 
 
 def report_text(lines: DataFrame, order: str = "line_no", text: str = "line") -> str:
@@ -32,6 +35,21 @@ def report_text(lines: DataFrame, order: str = "line_no", text: str = "line") ->
     return row.t or ""
 
 
+def write_report(lines: DataFrame, path: str, order: str = "line_no", text: str = "line") -> None:
+    """A report as one text file, its lines in order."""
+    lines.select(order, text).coalesce(1).sortWithinPartitions(order).select(text).write.mode("overwrite").text(path)
+
+
+def to_sinks(metrics: DataFrame, *sinks: Callable[[DataFrame], None]) -> None:
+    """The same metrics to every sink. They are a row for each name and step, held while the sinks write."""
+    held = metrics.persist()
+    try:
+        for sink in sinks:
+            sink(held)
+    finally:
+        held.unpersist()
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """(step, name, value) rows, a folder for each step so that one step can be read alone."""
     metrics.select("step", "name", "value").write.mode("append").partitionBy("step").parquet(path)

@@ -1,51 +1,93 @@
-"""Quota admission over a stream: counts of each category in keyed state, rejected rows to a sink of their own."""
+"""Quota admission over a stream: each micro-batch is ranked as a table, the counts of each line are the state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemill.operators.quota import FLEXIBLE
+from tidemill.operators.quota import FLEXIBLE, admit
 
 REASON = "Quota exceeded for type"
+STATE = "category string, count long"
 
 
-def admit_stream(results: DataFrame, quotas: dict[str, int], category: str = "category", order: str = "arrival") -> DataFrame:
-    """The rows with ``admitted``: within its category's quota, or, without one, within the flexible pool.
+@dataclass(frozen=True)
+class Admission:
+    """What arrives, and what may be taken of it."""
 
-    A category's state is its count; rows of a micro-batch compete in their
-    order. All categories without a quota share one key, as the pool is one.
-    """
-    pool = quotas.get(FLEXIBLE, 0)
-    typed = {k: v for k, v in quotas.items() if k != FLEXIBLE}
-    line = F.when(F.col(category).isin(*typed), F.col(category)).otherwise(FLEXIBLE) if typed else F.lit(FLEXIBLE)
-    keyed = results.withColumn("line", line)
-    schema = T.StructType([*keyed.schema.fields, T.StructField("admitted", T.BooleanType())])
+    results: DataFrame
+    quotas: dict[str, int]
+    category: str
+    order: str
+
+
+def admit_stream(results: DataFrame, quotas: dict[str, int], category: str = "category", order: str = "arrival") -> Admission:
+    """Rows are admitted within their category's quota or, without one, within the flexible pool; those of a micro-batch compete in their order."""
+    return Admission(results, dict(quotas), category, order)
 
-    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit = typed.get(key[0], pool) if key[0] != FLEXIBLE else pool
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")  # one micro-batch, which the trigger bounds
-        rows["admitted"] = [used + k < limit for k in range(len(rows))]
-        state.update((int(used + rows["admitted"].sum()),))
-        yield rows[[f.name for f in schema.fields]]
 
-    return keyed.groupBy("line").applyInPandasWithState(take, schema, "used long", "append", GroupStateTimeout.NoTimeout)
+def counts_so_far(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """(category, count) that were admitted up to a micro-batch, the last one if none is named; the pool's row is ``FLEXIBLE``."""
+    try:
+        every = spark.read.schema(f"{STATE}, batch long").parquet(f"{checkpoint}/admitted")
+    except AnalysisException:  # nothing was admitted yet
+        return spark.createDataFrame([], STATE)
+    at = F.lit(batch) if batch is not None else every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == at).drop("batch")
 
 
-def write_outcomes(admitted: DataFrame, accepted_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
-    """Accepted rows to one folder, rejected ones with their reason to another; each micro-batch overwrites its own part, so a repeated one adds nothing."""
+def write_outcomes(admission: Admission, accepted_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
+    """Accepted rows to one folder, rejected ones with their reason to another.
+
+    Each micro-batch overwrites its own part of both and of the counts, which
+    lie beside the checkpoint and are read from the part before it: a repeated
+    micro-batch adds nothing, and a restarted stream goes on from the counts.
+    """
+    category, order = admission.category, admission.order
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        kept.where("admitted").drop("admitted").write.mode("overwrite").json(f"{accepted_path}/batch={number}")
-        kept.where("not admitted").drop("admitted").withColumn("error", F.lit(REASON)).write.mode("overwrite").json(f"{rejected_path}/batch={number}")
-        kept.unpersist()
+        spark = batch.sparkSession
+        used = {r.category: r["count"] for r in counts_so_far(spark, checkpoint, number - 1).collect()}  # a row for each quota
+        left = spark.createDataFrame([(k, max(0, n - used.get(k, 0))) for k, n in admission.quotas.items()], f"{category} string, quota long")
+        ties = [c for c in batch.columns if c != order]
+        judged = admit(batch, left, [order, *ties], category).drop("arrival_rank").persist()
+        judged.where("admitted").drop("admitted").write.mode("overwrite").json(f"{accepted_path}/batch={number}")
+        judged.where("not admitted").drop("admitted").withColumn("error", F.lit(REASON)).write.mode("overwrite").json(f"{rejected_path}/batch={number}")
+        typed = [k for k in admission.quotas if k != FLEXIBLE]
+        line = F.when(F.col(category).isin(*typed), F.col(category)).otherwise(FLEXIBLE) if typed else F.lit(FLEXIBLE)
+        more = {r.line: r["count"] for r in judged.where("admitted").groupBy(line.alias("line")).count().collect()}
+        state = [(k, used.get(k, 0) + more.get(k, 0)) for k in {*used, *more}]
+        spark.createDataFrame(state, STATE).coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/admitted/batch={number}")
+        judged.unpersist()
+
+    return admission.results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return admitted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def is_full(spark: SparkSession, quotas: dict[str, int], checkpoint: str) -> bool:
+    """Whether every quota and the pool are used up."""
+    used = {r.category: r["count"] for r in counts_so_far(spark, checkpoint).collect()}
+    return all(used.get(k, 0) >= n for k, n in quotas.items())
+
+
+def run_until_full(admission: Admission, accepted_path: str, rejected_path: str, checkpoint: str, pause: float = 1.0) -> bool:
+    """Runs until the quotas are full, what arrived is read, or the stream fails; True if they are full.
+
+    How much is in flight is the source's limit for a micro-batch
+    (``maxFilesPerTrigger`` and the like); at most one more is read when the
+    quotas are full.
+    """
+    spark = admission.results.sparkSession
+    query = write_outcomes(admission, accepted_path, rejected_path, checkpoint)
+    seen = -1
+    while not query.awaitTermination(pause):
+        last = query.lastProgress
+        if last is not None and last["batchId"] != seen:
+            seen = last["batchId"]
+            if is_full(spark, admission.quotas, checkpoint):
+                query.stop()
+                break
+    return is_full(spark, admission.quotas, checkpoint)
