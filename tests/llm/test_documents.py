@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemill.llm import chat, html_extract, simhash, warc
+from tidemill.llm import chat, html_extract, simhash, url_rules, warc
 from tidemill.llm.html_extract import PROSE
 from tidemill.llm import queries as llm_queries
 from tidemill.llm._shared import join_counted
@@ -265,6 +265,21 @@ def test_archives(spark):
     assert warc.write_and_read(pages.limit(0)).count() == 0
 
 
+def test_long_values(spark):
+    long = "wörd " * 400_000
+    pages = spark.createDataFrame([(1, "http://a.org/" + "p" * 100_000, long), (2, "http://a.org/" + "p" * 100_000, long), (3, "http://" + "a." * 20_000 + "org/x", "<p>" + long)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.write_and_read(pages).collect()}
+    assert [got[k].refers_to for k in (1, 2, 3)] == [None, 1, None] and got[1].payload_bytes == len(long.encode()) == got[2].payload_bytes
+    rules = spark.createDataFrame([("org", "/", "block"), ("a.org", "/" + "p" * 50_000, "allow")], url_rules.RULES)
+    for sent in (url_rules.MAX_SENT, 1):
+        judged = {r.page_id: (r.verdict, len(r.rule)) for r in url_rules.judge(pages, rules, max_sent=sent).collect()}
+        assert judged == {1: ("allow", 50_006), 2: ("allow", 50_006), 3: ("block", 4)}
+    assert {r.page_id: r.n_chars for r in html_extract.extract(pages.where("page_id = 3")).collect()} == {3: len(long) - 1}
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long + "</s>")], "conv_id long, turn long, role string, text string")
+    row = chat.format_and_read(talk, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).first()
+    assert row.loss_chars == len(long) + 4 and row.loss_sha256 == hashlib.sha256(f"{long}</s>".encode()).hexdigest()
+
+
 def test_index_finds_single_captures_over_many_blocks(spark, monkeypatch):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".org/p"), F.col("id") % 50).alias("url"), F.concat(F.lit("payload "), F.col("id")).alias("html"))
     archive = warc.write(pages)
