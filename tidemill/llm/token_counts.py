@@ -18,7 +18,7 @@ from tidemill.llm._shared import materialize
 from tidemill.llm.bpe import with_token_ids
 
 #: Lengths in one range.
-SPAN = 1024
+SPAN = 256
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
