@@ -185,6 +185,16 @@ def test_deep_and_long_pages():
     assert time.process_time() - began < 30
 
 
+@pytest.mark.parametrize("piece", ["<a ", "</", "<!", "< ", "<a \"", "<p '", "<!-- ", "<svg>", "<button>", "<script>", "&amp", "<div class='", "</div>", "<li>"])
+def test_broken_pages_take_no_longer(piece):
+    began = time.process_time()
+    text = html_extract.Page(f"<body><article><p>Text</p>{piece * 200_000}").text("/none")
+    html_extract.Page(f"<body><article><p>Text</p>{piece * 200_000}>").text("/none")
+    assert text.startswith("Text") and time.process_time() - began < 20
+    assert html_extract.Page("<article><p>one<!-- <p>two</p> three").text("/none") == "one" == html_extract.Page("<article><p>one<!-- two").text("/none")
+    assert html_extract.Page("<article><p>one<!--> two --><p>three").text("/none") == "one two -->\nthree".replace(" two -->", "")
+
+
 class PlainReader(HTMLParser):
     """Main text of simple well-formed pages, by the standard library's parser: all within article but for what stands apart."""
 

@@ -118,12 +118,14 @@ class Page:
         def pop() -> None:
             open_[stack.pop()[0]] -= 1
 
-        begin = 0
-        while m := _TOKEN.search(html, begin):
+        begin, last = 0, html.rfind(">") + 1  # no tag ends behind the last one, and none is looked for
+        while m := _TOKEN.search(html, begin, last):
             text_to(m.start())
             at = begin = m.end()
             tag = m[2] or m[5]
             if tag is None:
+                if html.startswith("<!--", m.start()) and not html.endswith("-->", m.start() + 4, at):
+                    at = begin = len(html)  # a comment without an end
                 continue
             tag, closing, rest = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
             if tag in SILENT:
@@ -158,7 +160,8 @@ class Page:
             if not rest.endswith("/"):
                 stack.append((tag, self._holder(tag, rest, stack[-1][1])))
                 open_[tag] += 1
-        text_to(len(html))
+        comment = html.find("<!--", at)
+        text_to(comment if comment >= 0 else len(html))
         flush()
 
     def _holder(self, tag: str, rest: str, above: int) -> int:
