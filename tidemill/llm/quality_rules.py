@@ -15,12 +15,13 @@ base rule decides alone. Repeated documents are judged one by one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import hash_sample
+from tidemill.llm._shared import hash_sample, materialize
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -102,25 +103,33 @@ CONTRACT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 ALL = [*CONTRACT, "n_twin_words", "n_marks", "n_capitals"]
 
 
+WITHIN = {"n_words", "word_chars", "n_repeat_words", "n_twin_words"}
+#: The statistic of this name as a column.
+Statistic = Callable[[str], Column]
+
+
+def of(statistics_: Column) -> Statistic:
+    return lambda c: statistics_["w"][c] if c in WITHIN else statistics_[c]
+
+
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, statistics(F.col(text)).alias("__s"))
-    within = {"n_words", "word_chars", "n_repeat_words", "n_twin_words"}
-    return rows.select(*keep, *(F.col(f"__s.w.{c}" if c in within else f"__s.{c}").alias(c) for c in ALL))
+    return rows.select(*keep, *(of(F.col("__s"))(c).alias(c) for c in ALL))
 
 
-def rates() -> dict[str, Column]:
+def rates(s: Statistic = F.col) -> dict[str, Column]:
     """What the rules compare with thresholds: statistics for each word or character."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    words, chars = F.greatest(s("n_words"), F.lit(1)), F.greatest(s("word_chars"), F.lit(1))
     return {
-        "mean_word": F.col("word_chars") / words,
-        "symbols_a_word": F.col("n_symbols") / words,
-        "marks_a_word": F.col("n_marks") / words,
-        "capitals_a_character": F.col("n_capitals") / chars,
-        "twins_a_word": F.col("n_twin_words") / words,
-        "repeats_a_word": F.col("n_repeat_words") / words,
-        "dup_lines": F.col("n_dup_lines").cast("double"),
-        "words": F.col("n_words").cast("double"),
+        "mean_word": s("word_chars") / words,
+        "symbols_a_word": s("n_symbols") / words,
+        "marks_a_word": s("n_marks") / words,
+        "capitals_a_character": s("n_capitals") / chars,
+        "twins_a_word": s("n_twin_words") / words,
+        "repeats_a_word": s("n_repeat_words") / words,
+        "dup_lines": s("n_dup_lines").cast("double"),
+        "words": s("n_words").cast("double"),
     }
 
 
@@ -133,8 +142,8 @@ class Condition:
     def holds(self, row: dict[str, float]) -> bool:
         return row[self.rate] >= self.threshold if self.above else row[self.rate] < self.threshold
 
-    def column(self) -> Column:
-        rate = rates()[self.rate]
+    def column(self, s: Statistic = F.col) -> Column:
+        rate = rates(s)[self.rate]
         return rate >= F.lit(self.threshold) if self.above else rate < F.lit(self.threshold)
 
     def __str__(self) -> str:
@@ -147,13 +156,13 @@ class DecisionList:
 
     rules: list[tuple[Condition, ...]] = field(default_factory=list)
 
-    def number(self) -> Column:
+    def number(self, s: Statistic = F.col) -> Column:
         """The first rule that fits, from 1 on; 0 if none does."""
         out: Column | None = None
         for k, rule in enumerate(self.rules, 1):
-            fits = rule[0].column()
+            fits = rule[0].column(s)
             for c in rule[1:]:
-                fits = fits & c.column()
+                fits = fits & c.column(s)
             out = F.when(fits, F.lit(k)) if out is None else out.when(fits, F.lit(k))
         return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
@@ -235,17 +244,24 @@ def learn_list(rows: Labelled) -> DecisionList:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = MAX_LABELLED) -> Labelled:
-    """Rates of at most ``limit`` labelled documents and whether each is bad, in the order of a hash of the id."""
-    chosen = hash_sample(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q")), "doc_id", limit)
+    """Rates of at most ``limit`` labelled documents and whether each is bad, in the order of the id.
+
+    The first by a hash of the id among the labels that have a document; of
+    documents that share an id the first text counts. Statistics are worked
+    out for these few texts alone, which are written down first.
+    """
+    usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q"))
+    chosen = hash_sample(usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", limit)
     there = docs.select(F.col("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(there, "text", ["doc_id", "__q"]).where(~base_failed()).select("doc_id", "__q", *(c.alias(k) for k, c in rates().items())).limit(2 * limit).collect()
+    texts = materialize(there.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__q").alias("__q")), "labelled")
+    measured = with_statistics(texts, "text", ["doc_id", "__q"]).select("doc_id", "__q", base_failed().alias("__f"), *(c.alias(k) for k, c in rates().items()))
+    rows = sorted((r for r in measured.collect() if not r["__f"]), key=lambda r: r.doc_id)
     names = list(rates())
-    rows.sort(key=lambda r: (r.doc_id, *(r[k] for k in names)))
     return [({k: float(r[k]) for k in names}, r["__q"] == 0) for r in rows]
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+def base_failed(s: Statistic = F.col) -> Column:
+    return (s("n_words") < MIN_WORDS) | (s("n_repeat_words") * 100 > s("n_words") * MAX_REPEAT_PERCENT)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -260,9 +276,10 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that no rule rejects, in their own columns."""
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
-    taught = learn_list(labelled_sample(docs, labels, text))
-    judged = with_statistics(whole, "__text", ["__row"])
-    return judged.where(~base_failed() & (taught.number() == 0)).select("__row.*")
+    """The documents that no rule rejects, in their own columns.
 
+    The verdict is one expression, in which a text's statistics stand once,
+    wherever the optimiser puts the filter.
+    """
+    taught = learn_list(labelled_sample(docs, labels, text))
+    return docs.where(let(statistics(F.col(text)), lambda s: ~base_failed(of(s)) & (taught.number(of(s)) == 0)))
