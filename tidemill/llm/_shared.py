@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores where the scan has tasks for less than half of them, as for a single small file.
+
+    Tables of a size that matters have more tasks than that and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder, as a URI.
 
@@ -79,6 +88,12 @@ def kept(key: tuple, build: Callable[[], V]) -> V:
     return _kept[key]
 
 
+def release() -> None:
+    """Drops what an operator before has left in this worker; for tasks that keep nothing themselves."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, the first by a hash of the key.
 

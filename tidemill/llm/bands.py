@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, slices, utf8
+from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, release, slices, utf8
 from tidemill.llm.components import components
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 4
 #: Rounds of heads at most, and pairs for each row in a bucket below which the rest is compared pair by pair.
 HEADS, FEW = 8, 10
+#: Rows to look at, of two numbers each, up to which these are broadcast.
+MAX_SENT = 500_000
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
 
 
@@ -52,27 +54,50 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
 
 
-def with_shingles(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, the key of the words, the bands, the SimHash fingerprint of the distinct shingles, and these."""
-    longs = T.ArrayType(T.LongType(), False)
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("key", T.LongType(), False), T.StructField("bands", longs, False), T.StructField("fp", T.LongType(), False), T.StructField("shingles", longs, False)])
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def sketches(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep``, the key of the words, the number of distinct shingles, the bands, and the SimHash fingerprint of the shingles."""
+    long = T.LongType()
+    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("key", long, False), T.StructField("w", long, False), T.StructField("bands", T.ArrayType(long, False), False), T.StructField("fp", long, False)])
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         target = arrow_schema(schema)
         for batch in slices(batches, 200):
-            words = [(t or b"").lower().split() for t in batch.column(n).to_pylist()]
-            sets = [shingles(w) for w in words]
-            keys = [xxhash.xxh64_intdigest(b" ".join(w), SEED) - (1 << 63) for w in words]
-            yield batch_of(target, [*(batch.column(i) for i in range(n)), keys, [bands(s) for s in sets], [majority(s) for s in sets], pa.array([s.view(np.int64) for s in sets], target.field("shingles").type)])
+            found = []
+            for t in batch.column(n):
+                words = words_of(t.as_py())
+                s = shingles(words)
+                found.append((xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63), len(s), bands(s), majority(s)))
+            yield batch_of(target, [*(batch.column(i) for i in range(n)), *(list(x) for x in zip(*found, strict=True))])
 
     return docs.select(*keep, utf8(text).alias("__text")).mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, shingles) of the wanted rows (__row, key), a row for each key; only these texts travel, or none if the wanted are few."""
+    sent = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted
+    there = docs.select("__row", utf8(text).alias("__text")).join(sent, "__row").select("key", "__text")
+    schema = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("shingles", T.ArrayType(T.LongType(), False), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        target = arrow_schema(schema)
+        for batch in slices(batches, 200):
+            yield batch_of(target, [batch.column(0), pa.array([shingles(words_of(t.as_py())).view(np.int64) for t in batch.column(1)], target.field("shingles").type)])
+
+    # equal rows share their number
+    return materialize(there.mapInArrow(run, schema), "shingles").dropDuplicates(["key"])
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingles have at least four fifths of their union in common."""
+    """The pairs (a, b) whose shingles have at least four fifths of their union in common; ``sets`` has those of all keys in them."""
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
-    known = materialize(sets.join(asked, "key").dropDuplicates(["key"]), "shingles")
+    known = materialize(sets.join(asked, "key"), "shingles")
     total = 2 * pairs.count()
     left = join_counted(pairs, known.select(F.col("key").alias("a"), F.col("shingles").alias("x"), "n"), "a", total)
     both = join_counted(left, known.select(F.col("key").alias("b"), F.col("shingles").alias("y"), "n"), "b", total)
@@ -85,16 +110,21 @@ def by_key(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
 
 
-def linked(sets: DataFrame, near: DataFrame) -> DataFrame:
-    """(node, root): the components of the links between the keys of ``sets`` (key, bands, shingles); ``near`` (a, b) are tried first."""
-    each = sets.groupBy("key").agg(F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("w"))
-    rows = each.where("w > 0").select("key", "w", F.explode("bands").alias("band"))
+def linked(keys: DataFrame, near: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, root): the components of the links between keys.
+
+    ``keys`` has key, __row (one of ``docs`` with these words), w and bands;
+    ``near`` (a, b) are tried first.
+    """
+    rows = keys.where("w > 0").select("key", "w", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(join_counted(rows, buckets, "band", rows.count()), "buckets")
     total = members.count()
     alike = lambda x, y: 5 * F.least(x, y) >= 4 * F.greatest(x, y)
     tried = materialize(near, "pairs")
-    links = materialize(confirmed(tried, sets.select("key", "shingles")), "links")
+    wanted = members.select("key").unionByName(tried.select(F.col("a").alias("key"))).unionByName(tried.select(F.col("b").alias("key"))).distinct()
+    sets = materialize(shingle_sets(docs, text, materialize(keys.join(wanted, "key").select("__row", "key"), "wanted")), "shingles")
+    links = materialize(confirmed(tried, sets), "links")
     roots = components(links)
     for r in range(HEADS + 1):
         named = members.join(by_key(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -113,7 +143,7 @@ def linked(sets: DataFrame, near: DataFrame) -> DataFrame:
             pairs = join_counted(left.withColumnRenamed("key", "b"), heads, "band", total).select("b", "root", "w", F.col("h.key").alias("a"), F.col("h.root").alias("s"), F.col("h.w").alias("v"))
         pairs = pairs.where((F.col("root") != F.col("s")) & alike(F.col("w"), F.col("v"))).select("a", "b").distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(confirmed(pairs, sets.select("key", "shingles"))), "links")
+        links = materialize(links.unionByName(confirmed(pairs, sets)), "links")
         tried = tried.unionByName(pairs)
         roots = components(links)
         if last:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm import bands
-from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, slices, utf8
+from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, release, slices, utf8
 from tidemill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -62,6 +62,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         target = arrow_schema(schema)
         for batch in slices(batches):
             prints = np.array([fingerprint(t or b"") for t in batch.column(n).to_pylist()], np.uint64)
@@ -276,14 +277,16 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     is one shingle; equal rows are one.
     """
     whole = _numbered(docs)
-    sets = materialize(bands.with_shingles(whole, text, [doc_id, "__row"]), "shingles")
-    firsts = sets.groupBy("key").agg(_first(doc_id, "key"))
-    return _heads(whole, firsts, bands.by_key(bands.linked(sets, near_keys(sets))))
+    sketched = materialize(bands.sketches(whole, text, [doc_id, "__row"]), "sketches")
+    each = sketched.groupBy("key").agg(_first(doc_id, "key"), F.first("w").alias("w"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    keys = materialize(each.withColumn("__row", F.col("first.__row")), "keys")
+    roots = bands.linked(keys, near_keys(keys), whole, text)
+    return _heads(whole, keys.select("key", "first"), bands.by_key(roots))
 
 
-def near_keys(sets: DataFrame) -> DataFrame:
+def near_keys(keys: DataFrame) -> DataFrame:
     """Pairs (a, b) of different keys whose fingerprints link: enough to connect all that do."""
-    prints = materialize(sets.where(F.size("shingles") > 0).groupBy("fp", "key").agg(F.count("*").alias("rows")).drop("rows"), "prints")
+    prints = keys.where("w > 0").select("fp", "key")
     heads = materialize(prints.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n")), "heads")
     same = join_counted(prints, heads.where("n > 1"), "fp", prints.count()).select(F.col("head").alias("a"), F.col("key").alias("b"))
     links = fingerprint_links(heads.select("fp"))
