@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm._shared import arrow_schema, batch_of, materialize, shared_dir
+from tidemill.llm._shared import arrow_schema, batch_of, materialize, shared_dir, slices
 from tidemill.llm.url_rules import host_and_path, reversed_key
 
 #: Payloads below this size are never revisits.
@@ -48,6 +48,11 @@ BLOCK = 512
 LEVEL = 3
 #: Bytes that one range read of an archive may fetch for several records.
 READ_AHEAD = 4 << 20
+#: At least and at most for one task: captures of an index range, bytes of the archives to read.
+RANGE_ROWS = (1_000, 500_000)
+READ_BYTES = (1 << 20, 32 << 20)
+#: Revisits up to which their ids, 100 bytes each, are broadcast.
+MAX_SENT = 100_000
 
 CAPTURE = [("key", T.StringType()), ("page_id", T.LongType()), ("file", T.StringType()), ("offset", T.LongType()), ("size", T.LongType())]
 CAPTURES = T.StructType([T.StructField(n, t) for n, t in CAPTURE])
@@ -151,6 +156,9 @@ def classify(pages: DataFrame) -> DataFrame:
     again = seen.join(firsts, "digest").where("page_id is null or page_id <> first")
     known = again.select("page_id", F.col("digest").alias("of"), F.col("first")).distinct()
     digest = F.sha2("payload", 256)
+    known = materialize(known, "revisits")
+    few = known.count() <= MAX_SENT  # else payloads travel to their ids
+    known = F.broadcast(known) if few else known
     found = rows.withColumn("digest", digest).join(known, rows.page_id.eqNullSafe(known.page_id) & (F.col("digest") == F.col("of")), "left")
     return found.select(rows.page_id, "url", "payload", "digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.col("first")).alias("refers_to"))
 
@@ -162,7 +170,7 @@ def write_records(classified: DataFrame, base: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, store, name, out, at = arrow_schema(CAPTURES), Store(base), f"archive/{uuid.uuid4().hex}.warc.gz", None, 0
         try:
-            for batch in batches:
+            for batch in slices(batches, size=16_000_000):
                 out = out or store.create(name)
                 ids, urls, keys, payloads, digests, refers = (c.to_pylist() for c in batch.columns)
                 places = []
@@ -179,13 +187,15 @@ def write_records(classified: DataFrame, base: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, CAPTURES), "captures")
 
 
-def _n_ranges(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts_of(spark: SparkSession, size: int, least: int, most: int) -> int:
+    """Into how many tasks work of this size goes: no more than ``most`` in each, and one for each core if that leaves ``least``."""
+    return max(1, -(-size // most), min(spark.sparkContext.defaultParallelism, size // least))
 
 
 def write_index(captures: DataFrame, base: str) -> DataFrame:
     """Sorted captures in compressed blocks, one file for each range, and the directory."""
-    ordered = captures.repartitionByRange(_n_ranges(captures.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    n = parts_of(captures.sparkSession, captures.count(), *RANGE_ROWS)
+    ordered = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, store, name = arrow_schema(DIRECTORY), Store(base), f"index/{uuid.uuid4().hex}.blocks"
@@ -244,9 +254,10 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
     few index files, and through each block once. Which file a key lies in is
     searched among the files' first and last keys, a row for each range.
     """
-    shards = archive.directory.select("shard", "first", "last").orderBy("first", "last").collect()
+    shards = archive.directory.select("shard", "first", "last", "captures").orderBy("first", "last").collect()
+    n = parts_of(keys.sparkSession, sum(r.captures for r in shards), *RANGE_ROWS)
     base, sent = archive.base, keys.sparkSession.sparkContext.broadcast([(r.shard, r["first"], r["last"]) for r in shards])
-    wanted = keys.select("key", "page_id").distinct().repartitionByRange(_n_ranges(keys.sparkSession), "key", "page_id").sortWithinPartitions("key", "page_id")
+    wanted = keys.select("key", "page_id").distinct().repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("name", T.StringType())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +313,20 @@ def read_records(archive: Archive, captures: DataFrame, with_payload: bool = Fal
     """What the archive has at each capture; neighbours in a file are fetched by one range read."""
     base = archive.base
     schema = T.StructType([*RECORD.fields, *([T.StructField("payload", T.BinaryType())] if with_payload else [])])
-    ordered = captures.select("file", "offset", "size").repartition("file").sortWithinPartitions("file", "offset")
+    places = materialize(captures.select("file", "offset", "size"), "places")
+    total = places.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # stretches of a file, so that a large one is read by many
+    stretch = F.floor(F.col("offset") / READ_BYTES[1])
+    ordered = places.repartition(parts_of(places.sparkSession, total, *READ_BYTES), "file", stretch).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, store, name, source = arrow_schema(schema), Store(base), None, None
-        for batch in batches:
+        def rows_of(out: list) -> pa.RecordBatch:
+            return batch_of(target, [list(x) for x in zip(*out, strict=True)])
+
+        for batch in slices(batches):
             places = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            out, k = [], 0
+            out, held, k = [], 0, 0
             while k < len(places):
                 file, start, size = places[k]
                 end, upto = start + size, k + 1
@@ -328,9 +346,13 @@ def read_records(archive: Archive, captures: DataFrame, with_payload: bool = Fal
                     length = int(http.rpartition(b"Content-Length: ")[2])
                     row = (page_of(fields["WARC-Record-ID"]), length, digest, fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if revisit else None, fields.get("WARC-Target-URI"))
                     out.append((*row, payload) if with_payload else row)
+                    held += len(payload) if with_payload else 0
+                    if held > READ_AHEAD:
+                        yield rows_of(out)
+                        out, held = [], 0
                 k = upto
             if out:
-                yield batch_of(target, [list(x) for x in zip(*out, strict=True)])
+                yield rows_of(out)
         if source is not None:
             source.close()
 
