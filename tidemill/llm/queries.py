@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import bpe, chat, decontaminate, html_extract, language, quality_rules, simhash, token_counts, url_rules, warc
+from tidemill.llm import bpe, centroids, chat, decontaminate, html_extract, language, quality_rules, secrets, simhash, token_counts, url_rules, vector_codes, warc
 from tidemill.llm._shared import spread, table
 
 
@@ -73,6 +73,18 @@ def op10_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op13_centroid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spread(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,5 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_components": op9_simhash_components,
         "op10_token_histogram": op10_token_histogram,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_secret_scan": op12_secret_scan,
+        "op13_centroid_search": op13_centroid_search,
         "pipeline": pipeline,
     }
