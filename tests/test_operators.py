@@ -12,7 +12,8 @@ from tidemill.functions import arrays as A
 from tidemill.functions import text as X
 from tidemill.operators import advantage, balance, batch, curation, diagnosis, grading, quota, rewards, similarity
 from tidemill.plans.iteration import Settings, iterate, loop
-from tidemill.plans.providers import Canned, Checked, Paced, Patient, ask
+from tidemill.plans.providers import Canned, Checked, Paced, Patient
+from tidemill.plans.replies import ask
 
 
 def one(spark, column, **values):

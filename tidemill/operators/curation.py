@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
 from tidemill.operators.quota import ranked_within
+from tidemill.operators.selection import first_by_hash
 
 UNSCORED = 1.0
 
@@ -67,8 +68,7 @@ def fill_up(df: DataFrame, passed: Column, target: int, key: list[str], seed: in
     kept = flagged.where("__ok").withColumn("filled", F.lit(False))
     if need == 0:
         return kept.drop("__ok")
-    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key)))
-    more = flagged.where("not __ok").withColumn("__h", mixed).orderBy("__h", *key).limit(need).drop("__h").withColumn("filled", F.lit(True))
+    more = first_by_hash(flagged.where("not __ok"), need, seed, key).withColumn("filled", F.lit(True))
     return kept.unionByName(more).drop("__ok")
 
 

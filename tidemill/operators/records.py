@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemill.functions.text import first_filled
 from tidemill.operators.batch import with_index
 from tidemill.operators.quota import ranked_within
+from tidemill.operators.selection import permuted
 
 
 def coalesced(df: DataFrame, fields: Mapping[str, Sequence[str]], default: str = "") -> DataFrame:
@@ -71,14 +72,21 @@ def attempts(tried: DataFrame, valid: str, key: str = "sample_id", attempt: str
     return first.select(*tried.columns, (F.col(attempt) + 1).alias("tries"))
 
 
-def mini_batches(rows: DataFrame, key: str, size: int, epochs: int = 1, seed: int = 42) -> DataFrame:
-    """(epoch, batch, idx) for each row, in a seeded order of its own for every epoch."""
-    parts = None
-    for epoch in range(epochs):
-        mixed = rows.withColumn("__h", F.xxhash64(F.lit(seed + epoch), key))
-        one = with_index(mixed, ["__h", key]).drop("__h").withColumn("batch", F.floor(F.col("idx") / size)).withColumn("epoch", F.lit(epoch))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+def mini_batches(rows: DataFrame, key: str, size: int, epochs: int = 1, seed: int = 42, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(epoch, batch, idx) for each row, in a seeded order of its own for every epoch, from a batch of an epoch on.
+
+    Rows get their number by the key once; each epoch's order is a
+    permutation of the numbers that is worked out row by row, so that no epoch
+    sorts anything, and a run goes on from any batch.
+    """
+    numbered = with_index(rows, [key], "__number")
+    n = rows.count()
+    each = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(start[0]), F.lit(epochs - 1)))) if epochs > start[0] else numbered.withColumn("epoch", F.lit(0)).limit(0)
+    place = F.lit(None).cast("long")
+    for epoch in range(start[0], epochs):
+        place = F.when(F.col("epoch") == epoch, permuted(F.col("__number"), n, seed + epoch)).otherwise(place)
+    placed = each.withColumn("idx", place).withColumn("batch", F.floor(F.col("idx") / size)).drop("__number")
+    return placed.where((F.col("epoch") > start[0]) | (F.col("batch") >= start[1]))
 
 
 def removed(table: DataFrame, key: Mapping[str, str]) -> DataFrame:

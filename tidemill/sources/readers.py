@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.operators.selection import first_by_hash
+
 
 #: Bytes of a file whose text may stand as an argument.
 MAX_TEXT = 1 << 20
@@ -121,5 +123,5 @@ def text_or_file(spark: SparkSession, value: str) -> str:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows by the order of md5(seed, key), which other engines can repeat."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+    """``n`` rows, those that are first by md5(seed, key), which other engines can repeat."""
+    return first_by_hash(df, n, seed, [key])
