@@ -12,7 +12,7 @@ from tidemill.functions import arrays as A
 from tidemill.functions import text as X
 from tidemill.operators import advantage, balance, batch, curation, diagnosis, grading, quota, rewards, similarity
 from tidemill.plans.iteration import Settings, iterate, loop
-from tidemill.plans.providers import Canned, Checked, Paced, Patient
+from tidemill.plans.providers import Canned, Checked, Patient
 from tidemill.plans.replies import ask
 
 
@@ -277,15 +277,7 @@ def test_restored_state_keeps_counts(spark):
     assert [tuple(r) for r in changes.collect()] == [("a", 5, 6)]
 
 
-def test_paced_and_checked_providers():
-    now, waits = [0.0], []
-
-    def sleep(s):
-        waits.append(s)
-        now[0] += s
-
-    paced = Paced(Canned(("ok",)), interval=2.0, tasks=3, sleep=sleep, clock=lambda: now[0])
-    assert paced.call(["a", "b", "c"]) == ["ok"] * 3 and waits == [6.0, 6.0, 6.0] and paced.call([]) == []
+def test_checked_providers():
     said = iter(["bad", "good", "good"])
 
     class Wavering:
@@ -309,3 +301,12 @@ def test_loop_goes_on_where_it_stopped(spark, folder, tmp_path):
     run = lambda n: loop("v0", judge, lambda m, made, k: f"v{k}:{made.count()}", sources, Canned(), str(tmp_path), n, Settings(generated=40, target=20, candidates=3))
     first = run(1)
     assert first == "v1:20" and run(2) == "v2:20" and asked == [("v0", 1), ("v1:20", 2)]
+
+
+def test_classes_by_form_are_the_fold(spark):
+    chance = random.Random(8)
+    texts = ["2", "2.0", "4/2", "\\frac{4}{2}", "no idea", "No  idea", "no answer", "there is no x", "x", "X.", "3", "no 3", "NO idea", "", None]
+    rows = [(f"q{q}" if q else None, k, chance.choice(texts[: 4 + q % 12])) for q in range(60) for k in range(chance.randrange(1, 12))]
+    df = spark.createDataFrame(rows, "question_id string, candidate_index int, text string").repartition(4)
+    fold = grading.majority_of_classes(df, lambda a, b: grading.same_answer(a, b))
+    assert sorted(map(tuple, grading.majority_of_classes(df).collect()), key=str) == sorted(map(tuple, fold.collect()), key=str)

@@ -10,9 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidemill.plans import batch_queries, curation_queries, record_queries
+from tidemill.plans import batch_queries, curation_queries, record_queries, stored_queries
 
-SQL = curation_queries.query.sql | batch_queries.query.sql | record_queries.query.sql
+SQL = curation_queries.query.sql | batch_queries.query.sql | record_queries.query.sql | stored_queries.query.sql
 
 
 def same(a, b) -> bool:

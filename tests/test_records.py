@@ -37,6 +37,6 @@ def test_images(spark):
     gate = lambda *v: spark.createDataFrame([v], "w int, h int, b int, s double").select(images.acceptable(F.col("w"), F.col("h"), F.col("b"), F.col("s")).alias("x")).first().x
     assert gate(100, 2000, 30_000, 90.0) and not gate(100, 100, 30_000, 90.0) and not gate(600, 600, 100, 90.0) and not gate(600, 600, 30_000, 10.0)
     flat, edge = np.zeros((5, 5)), np.eye(5)
-    assert images.laplacian_variance(flat) == 0 < images.laplacian_variance(edge)
-    row = spark.createDataFrame([(edge.tolist(),)], "p array<array<double>>").select(images.sharpness("p").alias("s")).first()
-    assert abs(row.s - images.laplacian_variance(edge)) < 1e-12
+    assert images.laplacian_variance(flat.ravel(), 5) == 0 < images.laplacian_variance(edge.ravel(), 5)
+    row = spark.createDataFrame([(edge.tolist(),)], "p array<array<double>>").select(images.sharpness(F.col("p")).alias("s")).first()
+    assert abs(row.s - images.laplacian_variance(edge.ravel(), 5)) < 1e-12

@@ -15,6 +15,23 @@ def with_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFr
     return ranked_within(df.withColumn("__one", F.lit(1)), "__one", list(order), name).withColumn(name, F.col(name) - 1).drop("__one")
 
 
+def sliced(df: DataFrame, start: int | None = None, stop: int | None = None, step: int | None = None, index: str = "idx") -> DataFrame:
+    """The rows that a slice of the index takes, numbered anew in its order; negative numbers count from the end."""
+    n = df.count()
+    first, last, step = slice(start, stop, step).indices(n)
+    place = (F.col(index) - first) / step
+    taken = len(range(first, last, step))
+    return df.where((place == F.floor(place)) & place.between(0, taken - 1)).withColumn(index, F.call_function("div", F.col(index) - first, F.lit(step)))
+
+
+def item(df: DataFrame, at: int, index: str = "idx") -> DataFrame:
+    """One row by its index, from the end if that is negative; an error beyond the rows."""
+    n = df.count()
+    if not -n <= at < n:
+        raise IndexError(f"row {at} of {n}")
+    return df.where(F.col(index) == at % n)
+
+
 def select_and_rest(df: DataFrame, columns: Sequence[str], key: str) -> tuple[DataFrame, DataFrame]:
     """The columns taken out, and what is left; both keep the key."""
     taken = [c for c in columns if c != key]
@@ -115,6 +132,11 @@ def collate(df: DataFrame, group: str, order: str, *columns: str) -> DataFrame:
     return rows.select(group, *map(part, columns))
 
 
+def members(df: DataFrame, group: str, order: Sequence[str], name: str = "place") -> DataFrame:
+    """The rows of each group with their place in it, from 0: what ``collate`` gathers, as rows, for groups too large for one list."""
+    return ranked_within(df, group, list(order), name).withColumn(name, F.col(name) - 1)
+
+
 def fold(df: DataFrame, width: int, index: str, *columns: str) -> DataFrame:
     """Groups of ``width`` neighbours as lists."""
     return collate(df.withColumn("fold", F.floor(F.col(index) / width)), "fold", index, *columns)

@@ -9,6 +9,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _THOUSANDS = re.compile(r"(?<=\d),(?=\d{3}\b)")
 
@@ -68,17 +69,51 @@ def majority(candidates: DataFrame, question: str, answer: str, order: list[str]
     return best.join(totals, question).select(question, F.col("b")[answer].alias(answer), F.col("b.votes").alias("votes"), "total", (F.col("b.votes") / F.col("total")).alias("score"))
 
 
+@F.pandas_udf(T.StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    """What equal answers have in common: their number, or else their plain text."""
+
+    def form(text: str) -> str:
+        plain = plain_answer(text)
+        n = number(plain)
+        return f"text {plain}" if n is None else f"number {n}"
+
+    return texts.map(form)
+
+
+def _classes(counted: DataFrame) -> DataFrame:
+    """(question_id, answer, votes): the largest class of ``same_answer`` for each question, from its texts with ``first`` and ``times``.
+
+    Answers of one form are one class, except that a denial joins the first
+    class that a denial has opened, unless its own form was there before. That
+    is settled by the first text of every form and of all denials: no task sees
+    all answers to a question.
+    """
+    at = F.struct("first", "text")
+    formed = counted.withColumn("form", _canonical("text")).withColumn("denies", F.lower("text").contains("no "))
+    groups = formed.groupBy("question_id", "form", "denies").agg(F.sum("times").alias("times"), F.min(at).alias("at"))
+    forms = groups.groupBy("question_id", "form").agg(F.min("at").alias("opened"), F.min_by("denies", "at").alias("denial"))
+    denial = forms.groupBy(F.col("question_id").alias("__q")).agg(F.min_by(F.struct("form", "opened"), F.when(F.col("denial"), F.col("opened"))).alias("d"))
+    known = groups.join(forms.select(F.col("question_id").alias("__f"), F.col("form").alias("__form"), "opened"), F.col("question_id").eqNullSafe(F.col("__f")) & (F.col("form") == F.col("__form")))
+    known = known.join(denial, F.col("question_id").eqNullSafe(F.col("__q")))
+    moved = F.col("denies") & F.col("d").isNotNull() & (F.col("opened") > F.col("d.opened"))
+    classes = known.groupBy("question_id", F.when(moved, F.col("d.form")).otherwise(F.col("form")).alias("form")).agg(F.sum("times").alias("votes"), F.min("at").alias("at"))
+    best = classes.groupBy("question_id").agg(F.min_by(F.struct("at", "votes"), F.struct(-F.col("votes"), F.col("at"))).alias("b"))
+    return best.select("question_id", F.col("b.at.text").alias("answer"), F.col("b.votes").alias("votes"))
+
+
 def majority_of_classes(candidates: DataFrame, same: Callable[[str, str], bool] = same_answer, denominator: str = "valid") -> DataFrame:
     """(question_id, answer, votes, total, score): each candidate joins the first class whose first member it equals.
 
     The order matters, as the relation need not be transitive. Equal texts are
-    counted ahead of the shuffle; a task gets the different answers to one
-    question, in the order of their first candidate.
+    counted ahead of the shuffle. With our own rule no task sees all answers to
+    a question; with another, one gets the different answers to it, in the order
+    of their first candidate.
     """
 
     def vote(group: pd.DataFrame) -> pd.DataFrame:
         heads: list[list] = []
-        for text, times in group.sort_values("first", kind="stable")[["text", "times"]].itertuples(index=False):
+        for text, times in group.sort_values(["first", "text"], kind="stable")[["text", "times"]].itertuples(index=False):
             for head in heads:
                 if same(head[0], text):
                     head[1] += times
@@ -91,7 +126,8 @@ def majority_of_classes(candidates: DataFrame, same: Callable[[str, str], bool]
     filled = F.col("text").isNotNull() & (F.col("text") != "")
     rows = candidates.select("question_id", "candidate_index", "text")
     counted = rows.where(filled).groupBy("question_id", "text").agg(F.min("candidate_index").alias("first"), F.count("*").alias("times"))
-    best = counted.groupBy("question_id").applyInPandas(vote, "question_id string, answer string, votes long").withColumnRenamed("question_id", "__q")
+    best = _classes(counted) if same is same_answer else counted.groupBy("question_id").applyInPandas(vote, "question_id string, answer string, votes long")
+    best = best.withColumnRenamed("question_id", "__q")
     totals = rows.groupBy("question_id").agg((F.count_if(filled) if denominator == "valid" else F.count("*")).alias("total"))
     joined = totals.join(best, F.col("question_id").eqNullSafe(F.col("__q")), "left")
     return joined.select("question_id", "answer", F.coalesce("votes", F.lit(0)).alias("votes"), "total", F.coalesce(F.try_divide("votes", "total"), F.lit(0.0)).alias("score"))

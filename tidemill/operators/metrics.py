@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.quota import ranked_within
+
 # Peak operations a second by device.
 PEAK_FLOPS = {"H100": 989e12, "H800": 989e12, "A100": 312e12, "A800": 312e12, "L40": 181.05e12, "L20": 119.5e12, "H20": 148e12, "910B": 354e12}
 UNITS = {"B": 1e9, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15}
@@ -77,6 +79,19 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("name").agg(F.avg("value").alias("value"))
 
 
+def appended(metrics: DataFrame, more: DataFrame) -> DataFrame:
+    """(name, place, value): the values of list-valued metrics with one more for each row of ``more`` (name, value), after those that are there; its rows of one name come in the order of their value."""
+    ends = metrics.groupBy("name").agg((F.max("place") + 1).alias("__end"))
+    ranked = ranked_within(more.select("name", "value"), "name", ["value"], "__k")
+    added = ranked.join(ends, "name", "left").select("name", (F.coalesce("__end", F.lit(0)) + F.col("__k") - 1).alias("place"), "value")
+    return metrics.select("name", "place", "value").unionByName(added)
+
+
+def metric_lists(metrics: DataFrame) -> DataFrame:
+    """(name, values): the lists themselves, a number for each step."""
+    return metrics.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+
+
 def run_statistics(log: DataFrame) -> DataFrame:
     """One row over a log: rows, successes and their percentage."""
     ok = F.count_if(F.col("_meta.success"))

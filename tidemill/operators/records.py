@@ -89,6 +89,12 @@ def mini_batches(rows: DataFrame, key: str, size: int, epochs: int = 1, seed: in
     return placed.where((F.col("epoch") > start[0]) | (F.col("batch") >= start[1]))
 
 
+def shuffled_by_text(rows: DataFrame, text: str, n: int, seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows, with their ``idx``, of the rows sorted by a text and then shuffled by the seed: the same ones however they lie."""
+    numbered = with_index(rows, [text, *ties], "__number")
+    return numbered.withColumn("idx", permuted(F.col("__number"), rows.count(), seed)).where(F.col("idx") < n).drop("__number")
+
+
 def removed(table: DataFrame, key: Mapping[str, str]) -> DataFrame:
     """A small table without the rows of this key."""
     same = F.lit(True)

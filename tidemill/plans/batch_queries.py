@@ -150,10 +150,14 @@ def _(t):
     return vectors(t).select("vec_id", joined_text(A.position_ids(mask)).alias("positions"))
 
 
-@query("q50_pad_truncate", f"with {_IDS}, c as (select vec_id, ids[1:vec_id % 20 + 1] as ids, (vec_id % 20 + 1)::int as n from ids) select vec_id, array_to_string(case when n >= 12 then ids[n - 11:n] else list_transform(range(12 - n), lambda x: 0::bigint) || ids end, ',') as on_left, array_to_string(case when n >= 12 then ids[1:12] else ids || list_transform(range(12 - n), lambda x: 0::bigint) end, ',') as on_right from c")
+_FITTED = "with w as (select doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda x: length(x)) as ids, len(string_split(coalesce(text, ''), ' ')) as n from documents) select doc_id, array_to_string(case when n >= 40 then ids[n - 39:n] else list_transform(range(40 - n), lambda x: 0::bigint) || ids end, ',') as on_left, array_to_string(case when n >= 40 then ids[1:40] else ids || list_transform(range(40 - n), lambda x: 0::bigint) end, ',') as on_right from w"
+
+
+@query("q50_pad_truncate", _FITTED)
 def _(t):
-    cut = token_ids(t).select("vec_id", F.slice("ids", F.lit(1), (F.col("vec_id") % 20 + 1).cast("int")).alias("ids"))
-    return cut.select("vec_id", joined_text(A.fit_left(F.col("ids"), 12, 0)).alias("on_left"), joined_text(A.fit_right(F.col("ids"), 12, 0)).alias("on_right"))
+    """The lengths of the pieces between blanks, of every text, as ids that are brought to 40 from either side."""
+    rows = t.documents.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda x: F.length(x).cast("long")).alias("ids"))
+    return rows.select("doc_id", joined_text(A.fit_left(F.col("ids"), 40, 0)).alias("on_left"), joined_text(A.fit_right(F.col("ids"), 40, 0)).alias("on_right"))
 
 
 def pairs(t: Tables) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -53,23 +54,43 @@ class Patient:
 
 @dataclass
 class Paced:
-    """At most one call in ``interval`` seconds over all tasks: each of ``tasks`` waits for its share. For ``ask`` with as many tasks."""
+    """One call at a time, each in a time slot of its own; of ``owners`` callers that agree on ``base``, ``owner`` has every ``owners``-th slot.
+
+    Slots are ``interval`` and ``slack`` apart and a call begins within
+    ``slack`` of its slot, or waits for the next: no two calls of all owners
+    begin closer than the interval. Without a base it is now.
+    """
 
     provider: Provider
     interval: float
-    tasks: int = 1
+    owners: int = 1
+    owner: int = 0
+    base: float | None = None
+    slack: float = 0.02
     sleep: Callable[[float], None] = time.sleep
-    clock: Callable[[], float] = time.monotonic
+    clock: Callable[[], float] = time.time
+    slot: int = 0
+
+    def _wait(self) -> None:
+        if self.base is None:
+            self.base = self.clock()
+        step = self.interval + self.slack
+        while True:
+            turn = (self.clock() - self.base - self.slack) / step
+            past = math.ceil((turn - self.owner) / self.owners)  # slots of mine that are over
+            self.slot = max(self.slot, past)
+            begin = self.base + (self.slot * self.owners + self.owner) * step
+            if (wait := begin - self.clock()) > 0:
+                self.sleep(wait)
+            self.slot += 1
+            if self.clock() <= begin + self.slack:
+                return
 
     def call(self, prompts: list[str]) -> list[str]:
-        out, free = [], self.clock()
+        out: list[str] = []
         for p in prompts:
-            if (wait := free - self.clock()) > 0:
-                self.sleep(wait)
-            free = self.clock() + self.interval * self.tasks
+            self._wait()
             out += self.provider.call([p])
-        if prompts:  # the next batch of the task keeps its distance, too
-            self.sleep(max(0.0, free - self.clock()))
         return out
 
 

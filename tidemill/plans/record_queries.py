@@ -36,10 +36,10 @@ def _(t):
     return _by_place(advantage.reinforce_plus_plus(vectors(t).withColumn("m", mask), "v", "m", 0.9))
 
 
-@query("q84_short_prompts", "select vec_id from embeddings where vec_id % 20 + 1 <= 12")
+@query("q84_short_prompts", "select doc_id from documents where text is null or len(string_split(text, ' ')) <= 60")
 def _(t):
-    cut = token_ids(t).select("vec_id", F.slice("ids", F.lit(1), (F.col("vec_id") % 20 + 1).cast("int")).alias("ids"))
-    return curation.short_enough(cut, "ids", 12).select("vec_id")
+    """The pieces between blanks stand for ids."""
+    return curation.short_enough(t.documents.select("doc_id", F.split("text", " ").alias("ids")), "ids", 60).select("doc_id")
 
 
 @query("q85_rows_without_errors", "select event_id, event_type from events where not (event_type = 'error' and event_id % 3 <> 0)")
@@ -87,12 +87,13 @@ def _(t):
     return batch.flatten_columns(batch.unflatten_columns(flat))
 
 
-@query("q91_restored_state", "with o as (select source, count(*) as n from documents where doc_id % 3 = 0 group by 1), q as (select source, count(*) * 2 as quota from documents where doc_id % 2 = 1 group by 1) select coalesce(q.source, o.source) as category, quota::bigint as quota, coalesce(n, 0)::bigint as \"count\" from q full outer join o on q.source = o.source")
+@query("q91_restored_state", "with o as (select source, count(*) as n from documents group by 1), q as (select source, count(*) * 2 as quota from documents where lang is not null group by 1) select coalesce(q.source, o.source) as category, quota::bigint as quota, coalesce(n, 0)::bigint as \"count\" from q full outer join o on q.source = o.source")
 def _(t):
-    count = lambda where: t.documents.where(where).groupBy(F.col("source").alias("category")).agg(F.count("*").alias("count"))
-    twice = lambda df: df.select("category", (F.col("count") * 2).alias("quota"))
-    written = quota.snapshot(twice(count("doc_id % 2 = 0")), count("doc_id % 3 = 0"))
-    return quota.restore(written, twice(count("doc_id % 2 = 1")))[0]
+    """Counts of all documents, under quotas of twice those with a language instead of three times all."""
+    count = lambda df: df.groupBy(F.col("source").alias("category")).agg(F.count("*").alias("count"))
+    times = lambda df, n: df.select("category", (F.col("count") * n).alias("quota"))
+    every, known = count(t.documents), count(t.documents.where("lang is not null"))
+    return quota.restore(quota.snapshot(times(every, 3), every), times(known, 2))[0]
 
 
 @query("q92_group_ids", "select conv_id, turn, sha256('{\"conv_id\":' || conv_id || ',\"turn\":' || turn || '}') as uid from conversations")

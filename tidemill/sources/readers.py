@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators.selection import first_by_hash
+from tidemill.sources import json_arrays
 
 
 #: Bytes of a file whose text may stand as an argument.
@@ -18,8 +19,8 @@ MAX_TEXT = 1 << 20
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file that is one JSON array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A file that is one JSON array of objects, read by as many tasks as it has splits."""
+    return json_arrays.json_array(spark, path, schema)
 
 
 def json_lines(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:

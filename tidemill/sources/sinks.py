@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,23 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Part files that are one JSON array each, written row by row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        ahead = ""
+        for part in parts:
+            if len(part):
+                lines = "," + part["value"]
+                lines.iloc[0] = ahead + part["value"].iloc[0]
+                ahead = ","
+                yield lines.to_frame("value")
+        yield pd.DataFrame({"value": ["]"]})
+
+    df.select(F.to_json(F.struct(*(F.col(c) for c in df.columns))).alias("value")).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
 def append_log(df: DataFrame, path: str, success: bool, error: str | None = None) -> None:
     """Rows with ``sample_index`` go to the log with what became of them; the commit of the write makes it atomic."""
     meta = F.struct(F.col("sample_index").cast("long").alias("sample_index"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.lit(success).alias("success"), F.lit(error).cast("string").alias("error"))
