@@ -27,6 +27,12 @@ def boxed_balanced(text: str | None) -> str | None:
     return None
 
 
+@F.pandas_udf(T.StringType())
+def boxed(texts: pd.Series) -> pd.Series:
+    """The content of the last box as a column."""
+    return texts.map(boxed_balanced)
+
+
 def plain_answer(text: str) -> str:
     text = re.sub(r"\\text\{([^}]*)\}", r"\1", text.strip().strip("$"))
     return " ".join(text.split()).rstrip(".%").strip().lower()

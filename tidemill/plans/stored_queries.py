@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import images
-from tidemill.operators import balance, batch, metrics, quota, records, selection, table_functions
+from tidemill.operators import balance, batch, grading, metrics, quota, records, rewards, selection, table_functions
 from tidemill.operators.versions import VersionedTable, markdown
 from tidemill.plans.batch_queries import vectors
 from tidemill.plans.curation_queries import EVENT_QUOTAS
@@ -226,3 +228,48 @@ def _(t):
 @query("q138_members", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as place from orders")
 def _(t) -> DataFrame:
     return batch.members(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "place")
+
+
+@query("q139_boxed_content", "select p_partkey, case when p_size > 5 then '\\frac{' || p_size || '}{' || p_name || '}' end as answer from part")
+def _(t):
+    """A last box with braces in it after another; parts up to size 5 leave theirs open."""
+    inner = F.concat(F.lit("\\frac{"), "p_size", F.lit("}{"), "p_name", F.lit("}"))
+    text = F.concat(F.lit("So \\boxed{1} or \\boxed{"), inner, F.when(F.col("p_size") > 5, "} it is").otherwise(" it is"))
+    return t.part.select("p_partkey", grading.boxed(text).alias("answer"))
+
+
+@query("q140_checkpoints_to_drop", "select n_nationkey as step, n_name as path from (select *, row_number() over (order by n_nationkey desc) as k from nation) where k > 4")
+def _(t):
+    return sinks.checkpoints_to_drop(t.nation.select(F.col("n_nationkey").alias("step"), F.col("n_name").alias("path")), 5)
+
+
+@query("q141_report_file", f"with report as ({_REPORT}) select line, count(*)::bigint as n from report group by 1")
+def _(t):
+    path = folder(t)
+    sinks.write_report(query.queries["q130_table_report"](t.spark, t.folder), path)
+    return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("q142_latest_file", "select count(*)::bigint as n, sum(s_suppkey)::bigint as keys from supplier")
+def _(t):
+    path = folder(t)
+    for table in (t.nation.select(F.col("n_nationkey").alias("key")), t.supplier.select(F.col("s_suppkey").alias("key"))):
+        table.coalesce(1).write.mode("append").parquet(path)
+    found = t.spark.read.parquet(readers.latest_file(t.spark, path))
+    return found.agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+_REWARDS = f"{os.path.dirname(os.path.abspath(__file__))}/example_rewards.py"
+
+
+@query("q143_row_rewards", "select event_id, 0.5::double * value * (event_type <> 'error')::int as overall, (event_type <> 'error')::int::double as format, value as accuracy from events")
+def _(t):
+    function = rewards.load_function(f"{_REWARDS}:row_reward", scale=0.5)
+    return rewards.row_rewards(t.events, function, ["value", "event_type", "scale", "missing"], "event_id")
+
+
+@query("q144_batch_rewards", "select event_id, 2.0::double * (value - max(value) over (partition by user_id)) as overall, (event_type <> 'error')::int::double as format, value as accuracy from events")
+def _(t):
+    """A user's events are a batch, which the function sees whole."""
+    function = rewards.load_function(f"{_REWARDS}:batch_reward", scale=2.0)
+    return rewards.batch_rewards(t.events, function, ["value", "event_type"], "event_id", batch="user_id")
