@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from tidemill.llm import bands, simhash
 
 
@@ -41,9 +43,9 @@ def near_texts() -> list:
 def test_near_copies_are_brute_force(spark, monkeypatch):
     texts = near_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for few, heads in ((bands.FEW, bands.HEADS), (0, 1)):
-        monkeypatch.setattr(bands, "FEW", few)
-        monkeypatch.setattr(bands, "HEADS", heads)
+    for block, tries in ((bands.BLOCK, bands.TRIES), (2, 1)):
+        monkeypatch.setattr(bands, "BLOCK", block)
+        monkeypatch.setattr(bands, "TRIES", tries)
         kept = simhash.drop_near_copies(docs)
         assert sorted(r.doc_id for r in kept.collect()) == brute_heads(texts) and kept.columns == docs.columns
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
@@ -57,6 +59,46 @@ def test_pipeline_stage_drops_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_heads(texts)
 
 
+def families(seed: int) -> list[str]:
+    """Texts of some templates with ever more words changed: chains of near copies, many pairs about the limit."""
+    chance, texts = random.Random(seed), []
+    for f in range(3):
+        base = [f"f{f}w{chance.randrange(500)}" for _ in range(120)]
+        for _ in range(60):
+            copy = list(base)
+            for _ in range(chance.randrange(6)):
+                copy[chance.randrange(120)] = f"x{chance.randrange(10**9)}"
+            texts.append(" ".join(copy))
+            if chance.random() < 0.1:
+                base = copy
+    return texts
+
+
+def test_families_about_the_limit_are_brute_force(spark):
+    for seed in (1, 2):
+        texts = families(seed)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == brute_heads(texts)
+
+
+def test_promising_pairs_connect_all_that_are_alike():
+    texts = families(3)
+    sets = [bands.shingles(bands.words_of(t.encode())) for t in texts]
+    sketches = np.stack([np.frombuffer(bands.sketch(s), np.uint8) for s in sets])
+    keys, sizes, none = np.arange(len(texts)), np.array(list(map(len, sets))), np.zeros(len(texts), np.int64)
+    roots, failed, rounds = keys.copy(), [[] for _ in texts], 0
+    while pairs := bands.promising(keys, roots, sizes, sketches, none, failed, 2 * 4**rounds, rounds < 2):
+        rounds += 1
+        for a, b in pairs:
+            if near(texts[a], texts[b]):
+                old, new = max(roots[a], roots[b]), min(roots[a], roots[b])
+                roots[roots == old] = new
+            else:
+                failed[a].append(b)
+    assert sorted(set(roots.tolist())) == brute_heads(texts) and rounds < 9
+    assert sum(map(len, failed)) < len(texts) ** 2 / 8
+
+
 def test_repeated_and_null_ids(spark):
     x, y, z = ("".join(f"{c}{k} " for k in range(50)) for c in "xyz")
     rows = [(1, x), (1, y), (None, z), (None, z + "end"), (None, x), (2, y), (1, y)]

@@ -52,6 +52,32 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in one shared folder that go when their user is done, or one by one."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.base, self.paths = spark, shared_dir(spark, purpose), {}
+
+    def write(self, df: DataFrame, purpose: str) -> DataFrame:
+        """As ``materialize``; a table of the same purpose written before stays."""
+        path = f"{self.base}/{len(self.paths)}-{purpose}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._remove(self.paths[id(t)][1])
+
+    def clear(self) -> None:
+        self._remove(self.base)
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def utf8(column: str):
     """The column's text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")

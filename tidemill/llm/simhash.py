@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm import bands
-from tidemill.llm._shared import arrow_schema, batch_of, join_counted, materialize, release, slices, utf8
+from tidemill.llm._shared import Scratch, arrow_schema, batch_of, join_counted, materialize, release, slices, utf8
 from tidemill.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -249,11 +249,14 @@ def _first(doc_id: str, key: str) -> Column:
     return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), key, "__row")).alias("first")
 
 
-def _heads(whole: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of ``whole`` that are first in their component, from (key, first) and (key, root)."""
+def _first_rows(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The numbers of the rows that are first in their component, from (key, first) and (key, root)."""
     named = firsts.join(roots, "key", "left").groupBy(F.coalesce("root", "key").alias("root"))
-    heads = named.agg(F.min("first").alias("first")).select("first.__row").distinct()
-    return whole.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return named.agg(F.min("first").alias("first")).select("first.__row").distinct()
+
+
+def _rows_of(whole: DataFrame, numbers: DataFrame) -> DataFrame:
+    return whole.join(numbers, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -261,7 +264,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     whole = _numbered(docs)
     prints = with_fingerprint(whole, text, [doc_id, "__row"])
     firsts = materialize(prints.withColumnRenamed("fp", "key").groupBy("key").agg(_first(doc_id, "key")), "prints")
-    return _heads(whole, firsts, bands.by_key(components(fingerprint_links(firsts.select(F.col("key").alias("fp"))))))
+    return _rows_of(whole, _first_rows(firsts, bands.by_key(components(fingerprint_links(firsts.select(F.col("key").alias("fp")))))))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -276,12 +279,14 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Texts without a word are copies of each other; a text of up to five words
     is one shingle; equal rows are one.
     """
-    whole = _numbered(docs)
-    sketched = materialize(bands.sketches(whole, text, [doc_id, "__row"]), "sketches")
-    each = sketched.groupBy("key").agg(_first(doc_id, "key"), F.first("w").alias("w"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
-    keys = materialize(each.withColumn("__row", F.col("first.__row")), "keys")
-    roots = bands.linked(keys, near_keys(keys), whole, text)
-    return _heads(whole, keys.select("key", "first"), bands.by_key(roots))
+    whole, scratch = _numbered(docs), Scratch(docs.sparkSession, "near")
+    sketched = bands.sketches(whole, text, [doc_id, "__row"])
+    each = sketched.groupBy("key").agg(_first(doc_id, "key"), *(F.first(c).alias(c) for c in ("w", "bands", "fp", "sketch")))
+    keys = scratch.write(each.withColumn("__row", F.col("first.__row")), "keys")
+    roots = bands.linked(keys, near_keys(keys), whole, text, scratch)
+    firsts = materialize(_first_rows(keys.select("key", "first"), bands.by_key(roots)), "firsts")
+    scratch.clear()
+    return _rows_of(whole, firsts)
 
 
 def near_keys(keys: DataFrame) -> DataFrame:
