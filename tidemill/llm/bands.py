@@ -222,7 +222,8 @@ def linked(keys: DataFrame, near: DataFrame, docs: DataFrame, text: str, scratch
     """
     rows = keys.where("w > 0").select("key", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.write(join_counted(rows, buckets, "band", rows.count()), "buckets")
+    # rows of two numbers, of which adaptive execution splits those of a frequent band
+    members = scratch.write(rows.join(buckets.select("band"), "band"), "buckets")
     pairs, tried, links, roots, number = scratch.write(near, "pairs"), None, None, None, 0
     while True:
         wanted = keys.join(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "key").select("__row", "key")
