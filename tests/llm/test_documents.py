@@ -163,6 +163,35 @@ def test_article_sections_of_any_name_stay():
     assert text(f"<div class=text>{links}<p>Before it.</p>{links}<p>Behind it.</p>{links}</div>") == "Before it.\nFirst source\nSecond source\nBehind it."
 
 
+def test_marks_by_name_give_way():
+    text = lambda body: html_extract.Page(PAGE.format(body=body)).text("/none")
+    prose = "<h1>Head</h1><p>" + "Some words of it. " * 12 + "</p><p>More of it.</p>"
+    plain = "Head\n" + ("Some words of it. " * 12).strip() + "\nMore of it."
+    assert text(f"<form action=/x><div id=main>{prose}</div><input name=q></form>") == plain
+    assert text(f"<div class=lead><p>Lead.</p></div><form><div id=main>{prose}</div></form>") == plain  # what lies straight below the body is not reached
+    assert text("<form><div id=main><p>Short page.</p></div></form>") == "Short page."
+    for name in ("popular-articles", "form", "banner", "promo-content", "related"):
+        assert text(f'<div class="{name}">{prose}</div>') == plain, name
+    assert text(f"<article>{prose}<section class=related><p>About related works, at length.</p></section></article>") == plain + "\nAbout related works, at length."
+    for name in ("related", "related-posts", "popular-articles"):
+        assert text(f"<article>{prose}<section class={name}><ul><li><a href=/1>First of them</a></li><li><a href=/2>Second</a></li></ul></section></article>") == plain, name
+    # what stands apart does so still, where an article is there or nothing reads like one
+    assert text(f"<div>{prose}</div><div class=comments><p>{'A comment on it. ' * 60}</p></div>") == plain
+    assert text("<div class=cookie-notice><p>We use cookies.</p></div><form><label>Name</label><input></form>") == ""
+    for tag in ("p", "h2", "span", "b"):
+        for name in ("cookie-notice", "ad", "advert"):
+            assert text(f"<article><p>Before.</p><{tag} class='{name}'>Buy <i>this</i> now</{tag}><p>Text <span class=advert>buy <span>it</span> now</span>goes on.</p></article>") == "Before.\nText goes on.", (tag, name)
+    assert text("<article><p>One <span class=ad>never closed</p><p>Two <span class=big>three</span></p></article>") == "One\nTwo three"
+
+
+def test_two_templates_of_one_host(spark):
+    words = "Words of the text go on. " * 10
+    one, two = f"<div class=news><p>News. {words}</p></div><div class=box><p>Beside.</p></div>", f"<div class=box><p>Side.</p></div><section class=review><p>Review. {words}</p></section>"
+    rows = [(k, "http://a.net/", f"<html><body>{one if k % 5 else two}</body></html>") for k in range(20)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.split(".")[0] == ("News" if k % 5 else "Review") and t.count("\n") == 0 for k, t in found.items())
+
+
 def test_references_and_silent_elements():
     text = lambda body: html_extract.Page(f"<body><article>{body}</article></body>").text("/none")
     assert text("<p>A &<b>amp;</b> &lt;b&gt; &am<!-- x -->p; C</p>") == "A &amp; <b> &am p; C".replace("am p", "amp")
