@@ -344,4 +344,4 @@ def test_pipeline_keeps_clean_documents(spark, folder):
 
 
 def test_query_names():
-    assert [k.split("_")[0] for k in llm_queries.queries()] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [k.split("_")[0] for k in llm_queries.queries()] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
