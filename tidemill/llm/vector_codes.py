@@ -31,6 +31,8 @@ from tidemill.llm._shared import arrow_schema, batch_of, join_counted, kept, mat
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Size of an integer component from which a distance might not be exact in 64 bits.
 LARGE = 1 << 20
+#: Vectors whose searches go in step.
+AT_ONCE = 4_000
 
 
 def integers(vector: str, scale: int) -> Column:
@@ -61,37 +63,51 @@ class Orchard:
     """
 
     def __init__(self, entries: np.ndarray):
-        self.entries = entries
-        self.apart = np.stack([((entries - e) ** 2).sum(axis=1) for e in entries])
-        self.lists = np.argsort(self.apart, axis=1, kind="stable")
-        self.apart = np.take_along_axis(self.apart, self.lists, axis=1)
-        self.sums = entries.sum(axis=1)
-        self.by_sum = np.argsort(self.sums, kind="stable")
+        self.entries = entries.astype(float)  # whole numbers of a size that stays exact
+        apart = np.stack([((entries - e) ** 2).sum(axis=1) for e in entries])
+        self.lists = np.argsort(apart, axis=1, kind="stable")
+        # a row beyond what 4 * distance can reach ends every list
+        self.apart = np.append(np.take_along_axis(apart, self.lists, axis=1).astype(float), np.full((len(entries), 1), np.inf), axis=1)
+        sums = entries.sum(axis=1)
+        self.by_sum = np.argsort(sums, kind="stable")
+        self.sums = sums[self.by_sum]
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entry of each row and its squared distance; of equals the lowest entry."""
         n, k = len(rows), len(self.entries)
-        first = np.searchsorted(self.sums[self.by_sum], rows.sum(axis=1))
-        best = self.by_sum[np.minimum(first, k - 1)]  # any entry will do; one of a like mean is often near
-        least = ((rows - self.entries[best]) ** 2).sum(axis=1)
+        first = np.searchsorted(self.sums, rows.sum(axis=1))
+        start = self.by_sum[np.minimum(first, k - 1)]  # any entry will do; one of a like mean is often near
+        rows = rows.astype(float)
+        found, nearest = start.copy(), np.zeros(n, np.int64)
+        # what goes on: the row, its best entry and distance, its place in that entry's list, and what it has seen
+        going, best, at = np.arange(n), start, np.zeros(n, np.int64)
+        apart = rows - self.entries[best]
+        least = np.einsum("ij,ij->i", apart, apart)
         seen = np.zeros((n, k), bool)
-        seen[np.arange(n), best] = True
-        at, going = np.zeros(n, np.int64), np.arange(n)
+        seen[going, best] = True
         while len(going):
-            b, place = best[going], at[going]
-            going = going[self.apart[b, place] <= 4 * least[going]]
-            b, place = best[going], at[going]
-            other = self.lists[b, place]
-            at[going] += 1
-            new = ~seen[going, other]
+            over = self.apart[best, at] > 4 * least
+            if over.any():
+                done = going[over]
+                found[done], nearest[done] = best[over], least[over]
+                on = ~over
+                going, best, least, at = going[on], best[on], least[on], at[on]
+                continue
+            other = self.lists[best, at]
+            at += 1
+            new = np.flatnonzero(~seen[going, other])
+            if not len(new):
+                continue
             asked, other = going[new], other[new]
             seen[asked, other] = True
-            d = ((rows[asked] - self.entries[other]) ** 2).sum(axis=1)
-            better = (d < least[asked]) | ((d == least[asked]) & (other < best[asked]))
-            moved = asked[better]
+            apart = rows[asked]
+            apart -= self.entries[other]
+            d = np.einsum("ij,ij->i", apart, apart)
+            old = least[new]
+            better = (d < old) | ((d == old) & (other < best[new]))
+            moved = new[better]
             best[moved], least[moved], at[moved] = other[better], d[better], 0
-            going = going[at[going] < k]
-        return best, least
+        return found, nearest
 
 
 def _searches(books: Codebooks) -> list[Orchard]:
@@ -129,7 +145,7 @@ def learn(rows: DataFrame, books: Codebooks) -> Codebooks:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         totals, n = np.zeros(books.entries.shape, np.int64), np.zeros((parts, entries), np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             values, codes, _ = _nearest(books, batch.column(0))
             for p in range(parts):
                 np.add.at(totals[p], codes[:, p], values[:, p])
@@ -160,7 +176,7 @@ def encode(rows: DataFrame, books: Codebooks) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             there = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             code, error = np.full(len(there), None, object), np.full(len(there), None, object)
             if there.any():
@@ -180,7 +196,7 @@ def decode(codes: DataFrame, books: Codebooks, scale: int = SCALE, code: str = "
     at = codes.columns.index(code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, AT_ONCE):
             back = [None if c is None else (np.concatenate([books.entries[p, int(c[p * digits : (p + 1) * digits], 16)] for p in range(parts)]) / scale).tolist() for c in batch.column(at).to_pylist()]
             yield batch_of(arrow_schema(schema), [*batch.columns, back])
 
