@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,14 +111,19 @@ def kept(key: tuple, build: Callable[[], V]) -> V:
     replace these, so that workers that live on do not gather state.
     """
     if key not in _kept:
-        _kept.clear()
+        release()
         _kept[key] = build()
     return _kept[key]
 
 
 def release() -> None:
-    """Drops what an operator before has left in this worker; for tasks that keep nothing themselves."""
-    _kept.clear()
+    """Drops what an operator before has left in this worker, and gives the memory back; for tasks that keep nothing themselves."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
     pa.default_memory_pool().release_unused()
 
 
