@@ -220,6 +220,25 @@ def test_ranks_over_ranges(spark, range_rows):
     assert quota.ranked_within(df.limit(0), "g", ["id"], "place", range_rows).count() == 0
 
 
+def test_ranks_over_ranges_with_columns_of_any_name(spark):
+    rows = [(k % 3, k * 7 % 50, k, -k, k + 1, 2 * k) for k in range(50)]
+    df = spark.createDataFrame(rows, "__g int, b int, __part int, __P int, __before int, __held int")
+    got = {r["b"]: r for r in quota.ranked_within(df, "__g", ["b"], "__n", 7).collect()}
+    for g in range(3):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        assert [tuple(got[r[1]]) for r in own] == [(*r, k + 1) for k, r in enumerate(own)]
+
+
+def test_weakness_examples_and_error_descriptions_over_ranges(spark, monkeypatch):
+    rows = [(f"t{k % 2}" if k % 5 else None, "d" if k % 3 else None, 100 - k, k) for k in range(60)]
+    found = spark.createDataFrame(rows, "question_type string, description string, example_id long, seen long")
+    judged = found.select("question_type", "description", F.concat(F.lit("text "), F.lpad(F.col("seen").cast("string"), 3, "0")).alias("text"), F.lit(False).alias("is_correct"))
+    plans = [lambda: diagnosis.weakness_examples(found), lambda: diagnosis.error_descriptions(judged, ["question_type", "description"], "text")]
+    plain = [sorted(map(str, plan().collect())) for plan in plans]
+    monkeypatch.setattr(quota, "RANGE_ROWS", 9)
+    assert [sorted(map(str, plan().collect())) for plan in plans] == plain
+
+
 def test_one_valid_token(spark):
     rows = spark.createDataFrame([([1.0, 5.0], [0.0, 1.0])], "v array<double>, m array<double>")
     got = advantage.masked_moments(rows, "v", "m").first()

@@ -51,8 +51,16 @@ def admit(arrivals: DataFrame, quotas: DataFrame, order: list[str], category: st
 RANGE_ROWS, LOOKED_AT = 200_000, 20
 
 
-def _range_of(rows: DataFrame, order: list[str], n: int, total: int) -> DataFrame | None:
-    """Adds ``__part``, the number of the range, of ``n``, that a row's place in the order lies in; None without a border.
+def _free(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores ahead as it takes for none to be taken."""
+    ahead, low = "__", {c.lower() for c in taken}
+    while any(f"{ahead}{n}" in low for n in names):
+        ahead += "_"
+    return [f"{ahead}{n}" for n in names]
+
+
+def _range_of(rows: DataFrame, order: list[str], n: int, total: int, part: str, held: str) -> DataFrame | None:
+    """Adds ``part``, the number of the range, of ``n``, that a row's place in the order lies in; None without a border. Neither ``part`` nor ``held`` is a column of the rows.
 
     Borders over all order columns come from a sample, some twenty rows for
     each, and are constants from then on. They are searched in two steps.
@@ -63,14 +71,14 @@ def _range_of(rows: DataFrame, order: list[str], n: int, total: int) -> DataFram
     borders = [looked[len(looked) * k // n] for k in range(1, n)] if looked else []
     if not borders:
         return None
-    kind = T.StructType([T.StructField("b", T.ArrayType(T.StructType([T.StructField(f"c{k}", rows.schema[c].dataType) for k, c in enumerate(order)])))])
-    held = F.broadcast(rows.sparkSession.createDataFrame([(borders,)], kind))
+    kind = T.StructType([T.StructField(held, T.ArrayType(T.StructType([T.StructField(f"c{k}", rows.schema[c].dataType) for k, c in enumerate(order)])))])
+    one = F.broadcast(rows.sparkSession.createDataFrame([(borders,)], kind))
     wide = math.isqrt(len(borders) - 1) + 1
     below = lambda some: F.size(F.filter(some, lambda b: b < row))
-    blocks = F.transform(F.sequence(F.lit(1), F.lit(len(borders)), F.lit(wide)), lambda at: F.get(F.col("b"), at - 1))
-    with_block = rows.join(held).withColumn("__part", below(blocks))
-    fine = below(F.slice("b", F.greatest((F.col("__part") - 1) * wide + 1, F.lit(1)), F.lit(wide)))
-    return with_block.withColumn("__part", F.when(F.col("__part") == 0, 0).otherwise((F.col("__part") - 1) * wide + fine)).drop("b")
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(len(borders)), F.lit(wide)), lambda at: F.get(F.col(held), at - 1))
+    with_block = rows.join(one).withColumn(part, below(blocks))
+    fine = below(F.slice(held, F.greatest((F.col(part) - 1) * wide + 1, F.lit(1)), F.lit(wide)))
+    return with_block.withColumn(part, F.when(F.col(part) == 0, 0).otherwise((F.col(part) - 1) * wide + fine)).drop(held)
 
 
 def ranked_within(rows: DataFrame, group: str, order: list[str], name: str, range_rows: int | None = None) -> DataFrame:
@@ -78,17 +86,19 @@ def ranked_within(rows: DataFrame, group: str, order: list[str], name: str, rang
 
     There are as many ranges, over all rows, as their number asks for. Rows
     without a group are one; rows equal in all order columns share a range.
+    Columns of any name come through.
     """
     total, range_rows = rows.count(), range_rows or RANGE_ROWS
-    parted = _range_of(rows, order, -(-total // range_rows), total) if total > range_rows else None
+    part, held, g, p, n, before = _free([*rows.columns, name], "part", "held", "g", "p", "n", "before")
+    parted = _range_of(rows, order, -(-total // range_rows), total, part, held) if total > range_rows else None
     if parted is None:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
-    sizes = parted.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__g", "__p", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    joined = parted.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    place = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
-    return joined.withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before", "__g", "__p")
+    sizes = parted.groupBy(F.col(group).alias(g), F.col(part).alias(p)).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(g).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(g, p, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    joined = parted.join(ahead, F.col(group).eqNullSafe(F.col(g)) & (F.col(part) == F.col(p)))
+    place = F.row_number().over(Window.partitionBy(group, part).orderBy(*order))
+    return joined.withColumn(name, (F.col(before) + place).cast("long")).drop(part, before, g, p)
 
 
 def is_complete(progress_rows: DataFrame, flexible_quota: int, flexible_used: int) -> bool:
