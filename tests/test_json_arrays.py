@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from tidemill.sources import json_arrays, readers
+from tidemill.sources import json_arrays, readers, sinks
 
 SCHEMA = "id long, text string, list array<struct<a:string>>, deep struct<x:struct<y:string>>"
 
@@ -79,3 +81,23 @@ def test_advance():
     assert json_arrays.advance('x{", "b": [1]', True) == (0, False)
     assert json_arrays.advance('"open {', False) == (0, True) and json_arrays.advance("{{[", True) == (0, True)
     assert json_arrays.advance('a\\" { " {', True) == (1, False)
+
+
+def test_a_large_batch_is_not_held_as_objects():
+    n = 10_000
+    texts = pa.array([f'{{"id": {k}, "text": "{"x" * 2000}"' for k in range(n)])  # 20 MB
+    pieces = pa.RecordBatch.from_arrays([pa.array(["a"] * n), pa.array([0] * n), texts], ["path", "start", "value"])
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in json_arrays._by_split(iter([pieces]))) == n
+        assert sum(b.num_rows for b in sinks.array_lines(iter([pieces.select(["value"])]))) == n + 2
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_array_over_several_batches_is_whole():
+    batches = [pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(lo, hi)], pa.string())], ["value"]) for lo, hi in ((0, 0), (0, 250), (250, 251), (251, 251), (251, 400))]
+    lines = [x for b in sinks.array_lines(iter(batches)) for x in b.column(0).to_pylist()]
+    assert json.loads("\n".join(lines)) == list(range(400))
+    assert json.loads("".join(x for b in sinks.array_lines(iter([])) for x in b.column(0).to_pylist())) == []

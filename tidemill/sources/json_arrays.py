@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 _STRING = re.compile(r'"(?:[^"\\]++|\\.)*+"', re.DOTALL)
 _REST = re.compile(r'(?:[^"\\]++|\\.)*+"', re.DOTALL)
 _SIGN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{\[\]"]', re.DOTALL)
+#: Pieces of a batch that Python has as objects at once.
+AT_ONCE = 100
 STEPS = "path string, start long, bytes long, opener string, " + ", ".join(f"depth{k} long, least{k} long, inside{k} boolean" for k in (0, 1))
 STATES = "path string, start long, base long, depth long, inside boolean, owner long"
 
@@ -68,9 +70,10 @@ class Step:
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str]]:
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for path, start, value, *more in zip(*columns, strict=True):
-            yield (path, start, *more), value
+        for at in range(0, batch.num_rows, AT_ONCE):  # a batch may be 10,000 long pieces
+            columns = [c.to_pylist() for c in batch.slice(at, AT_ONCE).columns]
+            for path, start, value, *more in zip(*columns, strict=True):
+                yield (path, start, *more), value
 
 
 def steps(pieces: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Elements of an array that Python has as objects at once.
+AT_ONCE = 100
+
 
 def write_training_set(df: DataFrame, path: str, one_file: bool = False) -> None:
     """Parquet; a single file only if one is asked for."""
@@ -18,21 +21,22 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A JSON array's lines from those of its elements, a few at once: a batch may be 10,000 long ones."""
+    out = lambda lines: pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    yield out(["["])
+    ahead = ""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            lines = batch.column(0).slice(at, AT_ONCE).to_pylist()
+            yield out([ahead + lines[0], *("," + x for x in lines[1:])])
+            ahead = ","
+    yield out(["]"])
+
+
 def write_json_array(df: DataFrame, path: str) -> None:
     """Part files that are one JSON array each, written row by row."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ["["]})
-        ahead = ""
-        for part in parts:
-            if len(part):
-                lines = "," + part["value"]
-                lines.iloc[0] = ahead + part["value"].iloc[0]
-                ahead = ","
-                yield lines.to_frame("value")
-        yield pd.DataFrame({"value": ["]"]})
-
-    df.select(F.to_json(F.struct(*(F.col(c) for c in df.columns))).alias("value")).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+    df.select(F.to_json(F.struct(*(F.col(c) for c in df.columns))).alias("value")).mapInArrow(array_lines, "value string").write.mode("overwrite").text(path)
 
 
 def append_log(df: DataFrame, path: str, success: bool, error: str | None = None) -> None:
