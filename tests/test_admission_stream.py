@@ -5,6 +5,8 @@ import random
 import shutil
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -107,3 +109,38 @@ def test_lost_state_is_an_error(spark, tmp_path):
     feed(spark, tmp_path, [(9, "a", 9)])
     with pytest.raises(StreamingQueryException):
         start(admit_stream(source(spark, tmp_path), {"a": 5}), tmp_path).awaitTermination(120)
+
+
+class Held:
+    """A line's state, in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_progress_rows_of_many_rows_come_in_parts():
+    admit, held = quota_stream.Admit({"a": 25}, 5, 10, None), Held()
+    admit.init(held)
+    held.update((3, 7, 5))
+    n = 1_000_003
+    rows = pd.DataFrame({"order": [None], "tie": [0], "row": [None], "n": [n]})
+    parts = [p for p in admit.handleInputRows(("a", 0), iter([rows]), None) if len(p)]
+    assert max(map(len, parts)) <= 50_000
+    got = pd.concat(parts)
+    marks = [k for k in range(1, n + 1) if (7 + k) % 5 == 0 or (k <= 22 and (3 + k) % 10 == 0)]
+    assert set(got["outcome"]) == {"progress"} and got["row"].isna().all()
+    assert got["seen"].tolist() == [7 + k for k in marks]
+    assert got["admitted"].tolist() == np.minimum(3 + np.array(marks), 25).tolist()
+    assert held.value == (25, 7 + n, 7 + marks[-1])

@@ -23,6 +23,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Keys that rows which can't be admitted are dealt out to, beside their line.
 SPREAD = 64
+#: Rows of a line whose progress rows are made at once.
+STRETCH = 50_000
 
 
 @dataclass(frozen=True)
@@ -84,10 +86,12 @@ class Admit(StatefulProcessor):
                 yield self._out(line, both.iloc[free:], "rejected")
         if held is not None and len(held):
             yield self._out(line, held, "accepted")
-        marks = [k for k in range(1, n + 1) if (seen + k) % self.steps[0] == 0 or (k <= free and (admitted + k) % self.steps[1] == 0)]
-        if marks:
-            yield self._progress([(line, seen + k, min(admitted + k, max(quota, admitted))) for k in marks])
-            noted = seen + marks[-1]
+        for at in range(0, n, STRETCH):  # a line may have seen many millions of rows
+            k = np.arange(at + 1, min(at + STRETCH, n) + 1)
+            k = k[((seen + k) % self.steps[0] == 0) | ((k <= free) & ((admitted + k) % self.steps[1] == 0))]
+            if len(k):
+                yield self._progress(line, seen + k, np.minimum(admitted + k, max(quota, admitted)))
+                noted = seen + int(k[-1])
         self.counts.update((admitted + min(n, free), seen + n, noted))
         if self.idle is not None:
             for at in list(self.handle.listTimers()):
@@ -98,7 +102,7 @@ class Admit(StatefulProcessor):
         admitted, seen, noted = self.counts.get()
         if seen > noted:
             self.counts.update((admitted, seen, seen))
-            yield self._progress([(key[0], seen, admitted)])
+            yield self._progress(key[0], [seen], [admitted])
 
     def close(self) -> None:
         pass
@@ -108,9 +112,9 @@ class Admit(StatefulProcessor):
         return pd.DataFrame({"outcome": outcome, "line": line, "seen": pd.NA, "admitted": pd.NA, "row": part["row"].tolist()}).astype({"seen": "Int64", "admitted": "Int64"})
 
     @staticmethod
-    def _progress(marks: list[tuple[str, int, int]]) -> pd.DataFrame:
-        out = pd.DataFrame(marks, columns=["line", "seen", "admitted"]).astype({"seen": "Int64", "admitted": "Int64"})
-        return out.assign(outcome="progress", row=None)[["outcome", "line", "seen", "admitted", "row"]]
+    def _progress(line: str, seen, admitted) -> pd.DataFrame:
+        out = pd.DataFrame({"outcome": "progress", "line": line, "seen": seen, "admitted": admitted, "row": None})
+        return out.astype({"seen": "Int64", "admitted": "Int64"})
 
 
 def judged(admission: Admission) -> DataFrame:
