@@ -107,3 +107,24 @@ def test_repeated_and_null_ids(spark):
     assert sorted(k for k in kept if k[0]) == [(1, x), (1, y)]  # neither of two texts of one id is lost
     assert sorted((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect() if r.doc_id) == [(1, x), (1, y)]
     assert len(kept) == 3 and [i for i, t in kept if t.startswith("z0 ")] == [None]
+
+
+def test_later_rounds_start_from_stars(spark, monkeypatch):
+    texts, given = families(1), []
+
+    def seen(links, write):
+        given.append({(r.a, r.b) for r in links.collect()})
+        return components(links, write)
+
+    components = bands.components
+    monkeypatch.setattr(bands, "components", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == brute_heads(texts)
+    assert len(given) > 1
+    for before, links in zip(given, given[1:], strict=False):
+        heads = {}
+        for a, b in before:  # the smallest that links reach
+            group = heads.get(a, {a}) | heads.get(b, {b})
+            heads.update(dict.fromkeys(group, group))
+        stars = {(min(group), x) for x, group in heads.items() if x != min(group)}
+        assert stars <= links and not (before - stars) & links

@@ -232,7 +232,8 @@ def linked(keys: DataFrame, near: DataFrame, docs: DataFrame, text: str, scratch
         scratch.drop(sets)
         tried, links = (pairs, good) if tried is None else (tried.unionByName(pairs), links.unionByName(good))
         if roots is None or good.count():
-            roots = components(links, scratch.write)
+            # what is connected goes on as stars, so that only what is new takes rounds
+            roots = components(good if roots is None else roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(good), scratch.write)
         total = members.count()
         named = members.join(by_key(roots), "key", "left").withColumn("root", F.coalesce("root", "key"))
         parts = named.groupBy("band", "root").agg(F.count("*").alias("m"))
